@@ -148,7 +148,8 @@ def test_pitman_yor_sums_to_one():
     rng = np.random.default_rng(1)
     words_ = np.arange(500, dtype=np.uint64)
     n = rng.zipf(1.5, 500 * 3).clip(max=2000)
-    row = {"part": 0, "words": words_.tobytes(), "per": np.full(500, 3, "u1").tobytes(), "ctx": np.tile(np.arange(3, dtype="u1"), 500).tobytes(), "n": n.astype("<i8").tobytes()}
+    pack = pitman_yor.pack
+    row = {"part": 0, "words": pack(np.diff(words_, prepend=np.uint64(0))), "per": pack(np.full(500, 3, "u1")), "ctx": pack(np.tile(np.arange(3, dtype="u1"), 500)), "n": pack(n.astype("<i8"))}
     c = np.bincount(np.tile(np.arange(3), 500), weights=n, minlength=64)
     world = {"N": n.sum(), "V": 500, "d0": 0.5, "d1": 0.6, "C": c, "T": np.bincount(np.tile(np.arange(3), 500), minlength=64).astype(float), "S": 500.0, "round": 0}
     r = pitman_yor.Restaurants(row, world)

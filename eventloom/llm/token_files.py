@@ -17,6 +17,7 @@ an empty table gives no files and an empty result; other columns are passed over
 from __future__ import annotations
 
 import itertools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,21 +44,48 @@ class WordIds(dict):
     LIMIT = 400_000
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallel units; a pool of threads in each would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_padding(), self.model.no_truncation()
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def of(self, text: str) -> bytes:
-        words = text.encode().split()
-        if new := [w for w in set(words) if w not in self]:
+    def pieces(self, text: str) -> list[bytes]:
+        """Parts that are encoded apart. The tokenizer makes letters small, so A-Z may be made small before, if no special token
+        can come of it; and it always cuts between a letter or digit and a full stop or comma."""
+        data = text.encode()
+        out = []
+        for w in data.split() if b"<|" in data else data.lower().split():
+            stem = w.rstrip(b".,")
+            if len(stem) < len(w) and stem[-1:].isalnum():
+                out += (stem, w[len(stem) :])
+            else:
+                out.append(w)
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes words that aren't known, many in one call."""
+        if new := [w for w in words if w not in self]:
             if len(self) + len(new) > self.LIMIT:
                 self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.model.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.__getitem__, words))
+                new = list(words)
+            for i in range(0, len(new), 2000):
+                part = new[i : i + 2000]
+                e = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+                ids, owner = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
+                cut = np.searchsorted(owner, np.arange(len(part) + 1))
+                data, size = ids.tobytes(), self.dtype.itemsize
+                for k, w in enumerate(part):
+                    self[w] = data[cut[k] * size : cut[k + 1] * size]
+
+    def of_batch(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 500):
+            split = [self.pieces(t) for t in texts[i : i + 500]]
+            self.learn(set().union(*split))
+            for words in split:
+                yield b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(2)
@@ -127,8 +155,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
                 schema = pa.schema([("doc_id", batch.schema.field(0).type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sink, schema)
             sizes = []
-            for text in batch.column(1):
-                got = ids.of(text.as_py() or "") + end
+            for got in ids.of_batch([t or "" for t in batch.column(1).to_pylist()]):
+                got += end
                 out.add(got)
                 sizes.append(len(got) // ids.dtype.itemsize)
             offsets = list(itertools.accumulate(sizes, initial=at))
@@ -151,24 +179,26 @@ class Sequences:
         self.source = pa.memory_map(name) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(name)
         self.file = pa.ipc.open_file(self.source)
         self.length = int(self.file.schema.metadata[b"length"])
-        self.batches = [self.file.get_batch(i) for i in range(self.file.num_record_batches)] if isinstance(where, fs.LocalFileSystem) else None
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self._last: tuple[int, np.ndarray | None] = (-1, None)
 
-    def batch(self, i: int) -> pa.RecordBatch:
-        return self.batches[i] if self.batches is not None else self.file.get_batch(i)
+    def flat(self, i: int) -> np.ndarray:
+        """All ids of batch i, a view of the file where it is mapped."""
+        if self._last[0] != i:
+            self._last = (i, self.file.get_batch(i).column(0).values.to_numpy())
+        return self._last[1]
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and mask of sequence i."""
-        b, row = self.batch(i // self.per_batch), i % self.per_batch
-        at = slice(row * self.length, (row + 1) * self.length)
-        return b.column(0).flatten().to_numpy()[at], b.column(1).flatten().slice(at.start, self.length).to_numpy(zero_copy_only=False)
+        b, row = divmod(i, self.per_batch)
+        mask = self.file.get_batch(b).column(1).values.slice(row * self.length, self.length)
+        return self.flat(b)[row * self.length : (row + 1) * self.length], mask.to_numpy(zero_copy_only=False)
 
     def ids(self, offset: int, n: int) -> np.ndarray:
         """n ids from a place of the file's stream on."""
         size, got = self.per_batch * self.length, []
         while n > 0:
-            flat = self.batch(offset // size).column(0).flatten().to_numpy()
-            part = flat[offset % size : offset % size + n]
+            part = self.flat(offset // size)[offset % size : offset % size + n]
             got.append(part)
             offset, n = offset + len(part), n - len(part)
         return got[0] if len(got) == 1 else np.concatenate(got) if got else np.empty(0, np.uint16)

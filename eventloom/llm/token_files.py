@@ -41,7 +41,10 @@ class WordIds(dict):
 
     The tokenizer drops white space and no rule of it reaches over it, so a text's ids are its words' ids one after another."""
 
-    LIMIT = 400_000
+    #: Words in each of two generations: the older one goes when the younger is full, so that frequent words stay.
+    LIMIT = 250_000
+    #: Marks that end a word and are cut off behind a letter or digit.
+    MARKS = b".,;:!?$#*%&()\""
 
     def __init__(self, path: str):
         # Spark's tasks are the parallel units; a pool of threads in each would only take memory.
@@ -50,39 +53,48 @@ class WordIds(dict):
 
         self.model = Tokenizer.from_file(path)
         self.model.no_padding(), self.model.no_truncation()
+        self.old: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
 
     def pieces(self, text: str) -> list[bytes]:
         """Parts that are encoded apart. The tokenizer makes letters small, so A-Z may be made small before, if no special token
-        can come of it; and it always cuts between a letter or digit and a full stop or comma."""
+        can come of it; and it always cuts between a letter (of Latin-1) or digit and a mark of MARKS."""
         data = text.encode()
-        out = []
+        out, marks = [], self.MARKS
         for w in data.split() if b"<|" in data else data.lower().split():
-            stem = w.rstrip(b".,")
-            if len(stem) < len(w) and stem[-1:].isalnum():
+            stem = w.rstrip(marks)
+            if len(stem) < len(w) and (stem[-1:].isalnum() or (stem[-2:-1] == b"\xc3" and stem[-1] not in b"\x97\xb7")):
                 out += (stem, w[len(stem) :])
             else:
                 out.append(w)
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes words that aren't known, many in one call."""
-        if new := [w for w in words if w not in self]:
-            if len(self) + len(new) > self.LIMIT:
-                self.clear()
-                new = list(words)
-            for i in range(0, len(new), 2000):
-                part = new[i : i + 2000]
-                e = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-                ids, owner = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
-                cut = np.searchsorted(owner, np.arange(len(part) + 1))
-                data, size = ids.tobytes(), self.dtype.itemsize
-                for k, w in enumerate(part):
-                    self[w] = data[cut[k] * size : cut[k + 1] * size]
-
-    def of_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Encodes words that aren't known, many in one call; afterwards self has all of them."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+            new = list(words)
+        old, unknown = self.old, []
+        for w in new:
+            ids = old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                self[w] = ids
+        size = self.dtype.itemsize
+        for i in range(0, len(unknown), 2000):
+            part = unknown[i : i + 2000]
+            e = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            owner, data = np.array(e.word_ids, np.int64), np.array(e.ids, self.dtype).tobytes()
+            cut = (np.searchsorted(owner, np.arange(len(part) + 1)) * size).tolist()
+            for k, w in enumerate(part):
+                self[w] = data[cut[k] : cut[k + 1]]
+
+    def of_batch(self, texts: pa.Array) -> Iterator[bytes]:
         for i in range(0, len(texts), 500):
-            split = [self.pieces(t) for t in texts[i : i + 500]]
+            split = [self.pieces(t.as_py() or "") for t in texts.slice(i, 500)]
             self.learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
@@ -155,7 +167,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
                 schema = pa.schema([("doc_id", batch.schema.field(0).type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(sink, schema)
             sizes = []
-            for got in ids.of_batch([t or "" for t in batch.column(1).to_pylist()]):
+            for got in ids.of_batch(batch.column(1)):
                 got += end
                 out.add(got)
                 sizes.append(len(got) // ids.dtype.itemsize)

@@ -126,19 +126,17 @@ class SequenceFile:
             self.flush()
 
     def flush(self, end: bool = False) -> None:
-        ids = np.frombuffer(b"".join(self.rest), self.dtype)
-        whole = len(ids) // self.length * self.length
-        if end and whole < len(ids):
-            ids, n = np.pad(ids, (0, whole + self.length - len(ids))), len(ids)
-            whole += self.length
-        else:
-            n = whole
-        if whole:
-            values = pa.array(ids[:whole])
-            mask = pa.array(np.arange(whole) < n)
+        """Writes batches of FLUSH sequences each, so that a place's batch is found by division; at the end also what is left."""
+        ids, size = np.frombuffer(b"".join(self.rest), self.dtype), FLUSH * self.length
+        whole = len(ids) // size * size
+        for at in range(0, len(ids) if end else whole, size):
+            part = ids[at : at + size]
+            n = len(part)
+            part = np.pad(part, (0, -n % self.length))
+            values, mask = pa.array(part), pa.array(np.arange(len(part)) < n)
             self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(x, self.length) for x in (values, mask)], schema=self.schema))
-        self.rest = [ids[whole:].tobytes()]
-        self.count = len(self.rest[0])
+        self.rest = [] if end else [ids[whole:].tobytes()]
+        self.count = sum(map(len, self.rest))
 
     def close(self) -> None:
         self.flush(end=True)
@@ -211,6 +209,8 @@ class Sequences:
         size, got = self.per_batch * self.length, []
         while n > 0:
             part = self.flat(offset // size)[offset % size : offset % size + n]
+            if not len(part):
+                raise EOFError(f"the file ends {n} ids early")
             got.append(part)
             offset, n = offset + len(part), n - len(part)
         return got[0] if len(got) == 1 else np.concatenate(got) if got else np.empty(0, np.uint16)

@@ -299,6 +299,37 @@ def test_token_files(spark, texts, odd):
     assert token_files.round_trip(odd.limit(0), queries.WORD_BPE).count() == 0
 
 
+def test_sequences_of_texts_longer_than_a_batch(tmp_path):
+    import numpy as np
+
+    rng, parts = np.random.default_rng(5), []
+    f = token_files.SequenceFile(f"file://{tmp_path}/x.arrow", np.dtype("<u2"), 8)
+    for n in (20_000, 3, 0, 4096, 4097, 1, 50_000, 7):
+        parts.append(rng.integers(0, 40_000, n).astype("<u2"))
+        f.add(parts[-1].tobytes())
+    f.close()
+    got, at = token_files.Sequences(f"file://{tmp_path}/x.arrow"), 0
+    for p in parts:
+        assert np.array_equal(got.ids(at, len(p)), p)
+        at += len(p)
+    with pytest.raises(EOFError):
+        got.ids(at, 9)
+
+
+def test_words_apart_equal_the_library():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    w, r = token_files.WordIds(queries.WORD_BPE), random.Random(3)
+    w.LIMIT = 900  # so that generations change
+    some = "aZé×÷İß.,;:!?$#*%&()\"'s 'll 9²…\u0301\x85 \ufeff<|endoftext|>'D'\tÀ字"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a<|endoftext|>.", "x.<|endoftext|>b", "don't!", "é.é", "a.\u0301", None]
+    for t, got in zip(texts, w.of_batch(pa.array(texts)), strict=True):
+        assert np.frombuffer(got, w.dtype).tolist() == w.model.encode(t or "", add_special_tokens=False).ids
+
+
 def repeated(w):
     win, cov = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
     for i in range(len(w) - 4):

@@ -38,7 +38,7 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of a byte-level BPE file. Tokens are numbered inside by rank: bytes 0 to 255, then merges."""
 
-    PIECES, PAIRS = 300_000, 1_000_000
+    PIECES, PAIRS = 100_000, 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -159,11 +159,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [t for t in batch.column(1).to_pylist()]
-            found = [digests(c, t) for t in texts]
+            found = [digests(c, t.as_py()) for t in batch.column(1)]
             cols = [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())]
             if ids:
-                all_ids = [c.encode(t or "") for t in texts]
+                all_ids = [c.encode(t.as_py() or "") for t in batch.column(1)]
                 cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(map(c.decode, all_ids), pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in (FIELDS + more).split(", "))])
 

@@ -48,7 +48,7 @@ def word_count(text) -> F.Column:
 class WordHash(dict):
     """64-bit hash of each word, kept for words seen lately; bounded, so that a task's memory is."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -24,10 +24,12 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: The method's own limits: repeats of at least LONG_WORDS words may cover LONG_PERCENT of a text, and none may be longer than MAX_LONGEST words.
+#: The method's own limits, which bind below the base's: repeats of at least LONG_WORDS words may cover LONG_PERCENT of a text, and none may be
+#: longer than MAX_LONGEST words or, in a long text, than LONGEST_PERCENT of it.
 LONG_WORDS = 20
-LONG_PERCENT = 20
-MAX_LONGEST = 1000
+LONG_PERCENT = 8
+MAX_LONGEST = 50
+LONGEST_PERCENT = 1
 SYMBOLS = b"#*$%&|<>"
 BLOCK_WORDS = 300_000
 
@@ -103,7 +105,7 @@ def measured(texts: list[bytes]) -> list[np.ndarray]:
     symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
     lines = np.array([dup_lines(t) for t in texts], np.int64)
     failed = (sizes < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * sizes)
-    kept = ~failed & (100 * long <= LONG_PERCENT * sizes) & (longest <= MAX_LONGEST)
+    kept = ~failed & (100 * long <= LONG_PERCENT * sizes) & (100 * longest <= np.maximum(100 * MAX_LONGEST, LONGEST_PERCENT * sizes))
     return [sizes, chars, symbols, lines, repeat, longest, failed, kept]
 
 

@@ -349,6 +349,39 @@ def test_quality_brute_force(spark, texts):
         assert not (failed and r["kept"])
 
 
+def test_quality_method_rejects(spark, texts):
+    """kept is held against all windows of words; some texts pass the base rules and only the method rejects them."""
+
+    def page(n, *passages):
+        w, at = [f"p{i}" for i in range(n)], 0
+        for size in passages:  # each passage stands twice
+            w[at + size : at + 2 * size] = w[at : at + size]
+            at += 2 * size + 7
+        return " ".join(w)
+
+    own = {-1: page(1000, 95), -2: page(4000, 390), -3: page(1000, 30, 30), -4: page(600, 24), -5: page(600, 25), -6: page(3000, 50), -7: page(3000, 51), -8: page(9000, 90), -9: page(9000, 91), -10: page(1000, *[19] * 4), -11: page(300)}
+
+    def twice(w, n):
+        win = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return {j for i in range(len(w) - n + 1) if win[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+
+    want = {}
+    for i, t in (texts | own).items():
+        w = words(t)
+        good = len(w) >= 10 and 100 * repeated(w) <= 20 * len(w)
+        want[i] = (not good, good and 100 * len(twice(w, 20)) <= 8 * len(w) and not twice(w, max(50, len(w) // 100) + 1))
+    got = quality.quality(spark.createDataFrame(list((texts | own).items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in got} == want
+    assert {i for i in own if want[i] == (False, False)} == {-1, -2, -3, -5, -7, -9}
+
+
+def test_quality_keeps_labelled_clean(spark):
+    """No document that is labelled clean and passes the base rules is lost to the method."""
+    clean = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    got = queries.op10_quality(spark, SF).join(clean, "doc_id").where("not base_failed").groupBy("kept").count().collect()
+    assert [r["kept"] for r in got] == [True]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=4))
 def test_suffix_array(docs):

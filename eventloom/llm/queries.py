@@ -22,7 +22,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    return secrets.scan(documents(spark, sf_dir), gaps=True)
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Base kinds (assign, access, hex) are always reported. Weak kinds (user, blob, endpoint) are too common to report alone: each is
 a part of a credential with a role (access identifier, secret, endpoint), and is reported only where the complementary parts
-occur within `scope` code points. Parts are joined by interval: a part lies in a bucket of `scope` code points; the smallest
-and largest start of each role in a bucket and in its two neighbours decide exactly whether a part of that role lies within the
-scope, so the join moves one row per bucket and role, never pairs of parts.
+occur within `scope` code points. With `gaps`, nearness is the gap between the parts, however long they are (0 where they touch
+or overlap); without, the distance of their starts, which a long part in front uses up. Parts are joined by interval, by a sweep
+over a text's parts: of the parts of a role that start no later than `scope` behind a weak part, the largest end decides exactly
+whether one is near. A part gives a row and a weak part one more; no pairs of parts arise.
 
 Results for special cases: a null text counts as empty (no spans, the digest of the empty string); repeated rows, equal or null
 identifiers are scanned row by row; an empty table gives an empty result; other columns are passed over.
@@ -12,7 +13,7 @@ identifiers are scanned row by row; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ["assign", "access", "hex", "user", "blob", "endpoint"]
@@ -56,27 +57,28 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def linked(parts: DataFrame, key: list[str], scope: int) -> DataFrame:
+def linked(parts: DataFrame, key: list[str], scope: int, gaps: bool = False) -> DataFrame:
     """Of parts (key, start, k, end, role), the weak ones that have all complementary roles within scope: key, span.
 
-    The interval join: bucket summaries of the needed roles meet each weak part's bucket."""
-    parts = parts.withColumn("bucket", F.floor(F.col("start") / scope))
-    ends = parts.groupBy(*key, "bucket", "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    near = ends.select(*key, F.col("role").alias("has"), "lo", "hi", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = near.groupBy(*key, "bucket").agg(F.collect_list(F.struct("has", "lo", "hi")).alias("near"))  # nine entries at most
-    weak = parts.where(F.col("k") >= 3).join(near, [*key, "bucket"])
-    close = lambda at: F.abs(F.col("start") - at) <= scope  # noqa: E731  a bucket is no wider than the scope: its ends decide
-    within = lambda role: F.exists("near", lambda x: (x["has"] == role) & (close(x["lo"]) | close(x["hi"])))
+    The interval join: each part stands at its start, each weak part asks once more at its end plus the scope, where all parts
+    that start in time have been passed."""
+    last = F.col("end" if gaps else "start")
+    stands, asks = F.struct(F.col("start").cast("long").alias("at"), F.lit(False).alias("asks")), F.struct((last + scope).cast("long").alias("at"), F.lit(True).alias("asks"))
+    points = parts.withColumn("p", F.explode(F.when(F.col("k") >= 3, F.array(stands, asks)).otherwise(F.array(stands)))).select("*", "p.at", "p.asks")
+    passed = Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    roles = sorted(set(ROLE.values()))
+    points = points.select("*", *[F.max(F.when(~F.col("asks") & (F.col("role") == r), last)).over(passed).alias(f"_{r}") for r in roles])
+    within = lambda role: F.coalesce(F.col(f"_{role}") >= F.col("start") - scope, F.lit(False))
     ok = F.lit(False)
-    for kind, roles in NEEDS.items():
+    for kind, needed in NEEDS.items():
         here = F.col("k") == KINDS.index(kind)
-        for role in roles:
+        for role in needed:
             here = here & within(role)
         ok = ok | here
-    return weak.where(ok).select(*key, F.struct(F.col("start").cast("int").alias("start"), F.col("k").cast("int").alias("k"), F.col("end").cast("int").alias("end")).alias("span"))
+    return points.where(F.col("asks") & ok).select(*key, F.struct(F.col("start").cast("int").alias("start"), F.col("k").cast("int").alias("k"), F.col("end").cast("int").alias("end")).alias("span"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, gaps: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -89,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     # A null identifier gets a place of its own beside all others.
     rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
     parts = rows.where(F.size("weak") > 0).select(*key, F.explode(F.concat("base", "weak")).alias("s")).select(*key, "s.start", "s.k", "s.end", role.alias("role"))
-    more = linked(parts.distinct(), key, scope).groupBy(*key).agg(F.collect_list("span").alias("more"))
+    more = linked(parts.distinct(), key, scope, gaps).groupBy(*key).agg(F.collect_list("span").alias("more"))
     rows = rows.select("doc_id", *key, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], "base").join(more, key, "left")
     return rows.select(
         "doc_id", "n_assign", "n_access", "n_hex",

@@ -124,6 +124,24 @@ def test_secrets_link_parts(spark):
     assert got == {1: ["user", "blob"], 2: [], 3: [], 4: [], 5: ["user", "endpoint", "blob"], 6: [], 7: ["assign"]}
 
 
+def test_secrets_link_behind_long_parts(spark, texts, tmp_path):
+    """The query measures the gap: a long part doesn't hide what follows it. All links are held against pairs."""
+    jwt, blob, access = "eyJ" + "x" * 300, "A" * 39 + "/", "AKIA" + "B" * 16
+    url = "https://db.example/x?" + "q" * 300
+    docs = {1: f"token={jwt} user=bob", 2: f"token={jwt} https://db.example/x {access}", 3: f"{url} {access} token=abcdefgh1", 4: f"token={jwt} " + "x " * 101 + "user=bob", 5: "user=bob" + " " * 200 + "token=abcdefgh1", 6: "user=bob" + " " * 201 + "token=abcdefgh1", 7: f"token={jwt}" + " " * 200 + "user=bob", 8: f"{access} {url} {blob}", 9: f"{access} token=abcdefgh1" + " " * 170 + url + " x"}
+    spark.createDataFrame(list((docs | {100 + i: t for i, t in texts.items()}).items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in queries.op2_secrets(spark, str(tmp_path)).collect()}
+    kinds = {i: [s.split(":")[0] for s in got[i].split(",") if s] for i in docs}
+    assert kinds == {1: ["assign", "user"], 2: ["assign", "endpoint", "access"], 3: ["endpoint", "access", "assign"], 4: ["assign"], 5: ["user", "assign"], 6: ["assign"], 7: ["assign", "user"], 8: ["access", "endpoint"], 9: ["access", "assign", "endpoint"]}
+    for i, t in docs.items() | {100 + i: t or "" for i, t in texts.items()}.items():
+        base = [(a, k, b) for a, k, b in base_spans(t)]
+        weak = [(m.start(), k, m.end()) for k, kind in enumerate(secrets.KINDS) if k >= 3 for m in re.finditer(secrets.PATTERNS[kind], t)]
+        weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+        near = lambda w, role: any(secrets.ROLE[secrets.KINDS[k]] == role and max(a - w[2], w[0] - b) <= 200 for a, k, b in base + weak)
+        spans = sorted(base + [w for w in weak if all(near(w, r) for r in secrets.NEEDS[secrets.KINDS[w[1]]])])
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
 def test_pitman_yor(spark, texts):
     got = queries.op3_pitman_yor(spark, SF).collect()
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts.items()}

@@ -185,6 +185,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, and who is in which class. Identifiers are taken to be unique here.
+
+    links: a, b, n_links, a row for each pair of classes that link (a < b, their representatives; n_links = the documents' pairs
+    between them) and for each class of several documents (a = b; its own pairs). The number of links is the sum of n_links.
+    members: doc_id, rep of each document with shingles. Every pair that passes the filters is verified, once; large groups give
+    as many rows as they have links between different sets."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    all_sets = saved(prefixes(rows, k, num, den).where("n > 0 and id is not null"), "sets")
+    classes = all_sets.groupBy("sig").agg(F.min(F.struct("id", "n", "prefix", "parts")).alias("c"), F.count("*").alias("members"))
+    classes = saved(classes.select("sig", F.col("c.id").alias("rep"), "c.n", "c.prefix", "c.parts", "members"), "classes")
+    posts = postings(classes)
+    x = posts.select("h", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    y = posts.select("h", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), num, den))
+    pairs = saved(promising(pairs.select("a", "b").distinct(), classes, num, den).select("a", "b"), "pairs")
+    weight = lambda rep: classes.select(F.col("rep").alias(rep), F.col("members").alias(f"members_{rep}"))
+    between = verified(pairs, rows, k, num, den).join(weight("a"), "a").join(weight("b"), "b").select("a", "b", (F.col("members_a") * F.col("members_b")).alias("n_links"))
+    within = classes.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.expr("members * (members - 1) div 2").alias("n_links"))
+    members = all_sets.select(F.col("id").alias("doc_id"), "sig").join(classes.select("sig", "rep"), "sig").drop("sig")
+    return between.unionByName(within), members
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest identifier; all columns are kept as they are."""
     gone = near_duplicates(docs, k, num, den, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone__")).distinct()

@@ -90,6 +90,32 @@ def test_jaccard_hot_group(spark):
         assert {r["doc_id"]: tuple(r) for r in got} == link_components(group, k, num, 100)
 
 
+def test_jaccard_all_links(spark, texts):
+    """Each link between two documents comes out, those inside a component too."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(250)]
+    group = {}
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y"])
+        group[1000 + i] = " ".join(w)
+    every = texts | group | {2000: None, 2001: " "}
+    links, members = jaccard_join.linked(spark.createDataFrame(list(every.items()), "doc_id long, text string"), 3, 90, 100)
+    sets = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, w in ((i, (t or "").encode().lower().split()) for i, t in every.items()) if w}
+    ids = sorted(sets)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    assert rep == {i: min(j for j in ids if sets[j] == sets[i]) for i in ids}
+    got = [tuple(r) for r in links.collect()]
+    assert sum(n for _, _, n in got) == len(want)
+    assert Counter({(a, b): n for a, b, n in got}) == Counter(tuple(sorted((rep[a], rep[b]))) for a, b in want)
+    assert len(got) == len({(a, b) for a, b, _ in got})
+    assert sum(a != b for a, b, _ in got) > len({a for a, b, _ in got} | {b for a, b, _ in got})  # more than a spanning tree
+
+
 def test_jaccard_odd(odd):
     got = Counter(map(tuple, jaccard_join.near_duplicates(odd, 3, 90, 100).collect()))
     assert got == Counter({(1, 0, 1): 1, (2, 0, 2): 1, (3, 1, 3): 1, (4, 1, 3): 2, (None, 1, None): 1, (6, 29998, 6): 1, (7, 29999, 6): 1, (8, 0, 8): 1, (9, 2, 9): 1, (None, 0, None): 1})

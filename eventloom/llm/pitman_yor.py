@@ -1,17 +1,18 @@
 """LM scoring: a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Restaurants: one for each context (64 classes of the word before, told by its last two bytes, or by the text's start), all
-sharing one parent restaurant of single words, whose base is uniform over the training vocabulary and one unseen word. A context
-restaurant's customers are the tokens seen there; each of its tables sends one customer to the parent. Gibbs sweeps seat every
-dish's customers anew, given all other seats: a customer opens a table with weight (theta + d T) p(parent), else joins one with
-weight n - d t. Large counts are seated in runs of n / 32 customers under one probability. Predictive probabilities are
-averaged over the samples kept.
-
-Distribution: texts are cut into blocks; a block's distinct (word, context) entries with their training counts are packed and
-dealt out by word hash, so a word's counts in all contexts meet in one task, at most one entry for each block however frequent
-the word is. Seating is local to a word but for the context's table totals, 64 numbers that are summed over all parts after each
-round. Answers go back by block, where the tokens wait as positions in the block's entries. All counts come from all training
-documents; tokens are read once.
+Restaurants: one for each word that stands before (or the text's start), sharing 64 class restaurants (classes of that word, by
+its last two bytes), sharing one parent restaurant of single words, whose base is uniform over the training vocabulary and one
+unseen word. A word restaurant's customers are the tokens seen there; each of its tables sends one customer to its class, each
+table there one to the parent. Gibbs sweeps seat every dish's customers anew, given all other seats: a customer opens a table
+with weight (theta + d T) p(parent), else joins one with weight n - d t. Large counts are seated in runs of n / 32 customers
+under one probability. Predictive probabilities are averaged over the samples kept.
+
+Distribution: texts are cut into blocks; a block's distinct (word, word before) entries with their training counts are packed and
+dealt out by word hash, so a word's counts in all contexts meet in one task. Seating is local to a word but for the totals of
+customers and tables: those of the classes are a few numbers, summed over all parts after each round; those of the words before
+are summed by ranges of their hash and go back to the parts that have them, so nothing in proportion to the vocabulary meets in
+one place. Answers go back by block, where the tokens wait as positions in the block's entries. All counts come from all training
+documents; tokens are read once. A word before is told by 40 bits of hash.
 
 Results for special cases: a null or empty text has one token, the end; a null identifier counts as the empty text for the
 held-out rule; repeated rows are scored (and, in training, counted) each; very long texts are split over no blocks: each is whole
@@ -41,6 +42,14 @@ THETA = 1.0
 BURN_IN, SAMPLES, ROUNDS = 2, 4, 2
 
 
+CTX_BITS = 40
+
+
+def context_of(word: np.ndarray) -> np.ndarray:
+    """Identifier of the word as a context; its lowest bits are the class."""
+    return word >> np.uint64(30) << np.uint64(6) | word & np.uint64(CONTEXTS - 1)
+
+
 class _Words(WordHash):
     """Hash of a word; its lowest bits are the class that the word is as a context."""
 
@@ -67,6 +76,15 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def pack_up(x: np.ndarray) -> bytes:
+    """An ascending array of numbers, as its gaps."""
+    return pack(np.diff(x.astype("<u8"), prepend=np.uint64(0)))
+
+
+def unpack_up(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5 == 1
 
@@ -84,30 +102,33 @@ def _block(tokens: list[np.ndarray], train: np.ndarray, parts: int):
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     word, part = word[order], part[order]
-    code, entry = np.unique(place[at] * CONTEXTS + (before % np.uint64(CONTEXTS)).astype(np.int64), return_inverse=True)
+    ctx, before = np.unique(context_of(before), return_inverse=True)
+    code, entry = np.unique(place[at] * len(ctx) + before, return_inverse=True)
     n = np.bincount(entry, weights=np.repeat(train, sizes), minlength=len(code)).astype(np.int64)
-    return sizes, word, part.astype(np.int64), code // CONTEXTS, (code % CONTEXTS).astype("u1"), n, entry
+    return sizes, word, part.astype(np.int64), code // len(ctx), ctx[code % len(ctx)], n, entry
 
 
 def blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """Entry rows (block, part, words, per, ctx, n) and token rows (block, ids, sizes, held, entries), in one pass."""
+    """Entry rows (block, part, words, ctxs, ctx, n) and token rows (block, ids, sizes, held, entries), in one pass."""
     kind = dict(rows.dtypes)["id"]
 
     def packed(block: int, ids: list, tokens: list, id_type) -> pa.RecordBatch:
         held = np.array([held_out(i) for i in ids])
         sizes, word, part, owner, ctx, n, entry = _block(tokens, ~held, parts)
-        per = np.bincount(owner, minlength=len(word)).astype("u1")
         cut_w = np.searchsorted(part, np.arange(parts + 1))
         cut_e = np.searchsorted(owner, cut_w)
         some = np.flatnonzero(np.diff(cut_w))
         piece = lambda x, cut: [pack(x[cut[p] : cut[p + 1]]) for p in some]
-        gaps = lambda w: np.diff(w, prepend=np.uint64(0))  # noqa: E731  a part's words ascend
+        # Only a text's sum counts, so its tokens' entries may ascend.
+        entry = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(owner) + entry)
         void = [None] * len(some)
+        ctxs, at = zip(*(np.unique(ctx[cut_e[p] : cut_e[p + 1]], return_inverse=True) for p in some), strict=True)
+        codes = [pack_up((owner[cut_e[p] : cut_e[p + 1]] - cut_w[p]) * len(c) + a) for p, c, a in zip(some, ctxs, at, strict=True)]
         return pa.RecordBatch.from_arrays([
             pa.array([block] * (len(some) + 1), pa.int64()), pa.array([*map(int, some), None], pa.int32()),
-            pa.array([*(pack(gaps(word[cut_w[p] : cut_w[p + 1]])) for p in some), None], pa.binary()), pa.array([*piece(per, cut_w), None], pa.binary()), pa.array([*piece(ctx, cut_e), None], pa.binary()), pa.array([*piece(n, cut_e), None], pa.binary()),
-            pa.array([*void, ids], pa.list_(id_type)), pa.array([*void, pack(sizes)], pa.binary()), pa.array([*void, pack(held.astype("u1"))], pa.binary()), pa.array([*void, pack(entry.astype("<u4"))], pa.binary()),
-        ], ["block", "part", "words", "per", "ctx", "n", "ids", "sizes", "held", "entries"])
+            pa.array([*(pack_up(word[cut_w[p] : cut_w[p + 1]]) for p in some), None], pa.binary()), pa.array([*map(pack_up, ctxs), None], pa.binary()), pa.array([*codes, None], pa.binary()), pa.array([*piece(n, cut_e), None], pa.binary()),
+            pa.array([*void, ids], pa.list_(id_type)), pa.array([*void, pack(sizes)], pa.binary()), pa.array([*void, pack(held.astype("u1"))], pa.binary()), pa.array([*void, pack_up(entry)], pa.binary()),
+        ], ["block", "part", "words", "ctxs", "ctx", "n", "ids", "sizes", "held", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, tokens, size, id_type = TaskContext.get().partitionId() << 32, [], [], 0, None
@@ -124,7 +145,7 @@ def blocks(rows: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield packed(number, ids, tokens, id_type)
 
-    return rows.mapInArrow(run, f"block long, part int, words binary, per binary, ctx binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
+    return rows.mapInArrow(run, f"block long, part int, words binary, ctxs binary, ctx binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
 
 
 def _entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,30 +154,63 @@ def _entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, np.repeat(np.arange(len(word)), unpack(row["per"], "u1")), unpack(row["ctx"], "u1").astype(np.int64)
 
 
-#: What is summed over all parts: tokens, words, words and entries seen once and twice; tokens and entries by context.
-STATS = 6
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, contexts (both ascending), and of each entry: its word's place, its context's place."""
+    word, ctxs, code = (unpack_up(row[k]) for k in ("words", "ctxs", "ctx"))
+    return word, ctxs, *(x.astype(np.int64) for x in np.divmod(code, np.uint64(len(ctxs))))
+
+
+#: What is summed over all parts: tokens, words; words, class entries and entries seen once and twice; customers and tables by class.
+STATS = 8
+COUNTS = "part int, words binary, ctxs binary, ctx binary, n binary, stats array<long>"
 
 
 def counted(entries: DataFrame) -> DataFrame:
-    """A row for each part: its words and entries with counts over all blocks, and stats."""
+    """A row for each part: its words and entries with counts over all blocks, all contexts (held-out ones too), and stats."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [(*_entries(r), unpack(r["n"], "<i8")) for r in table.to_pylist()]
+        rows = [(*_pairs(r), unpack(r["n"], "<i8")) for r in table.to_pylist()]
         word, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        base = np.cumsum([0, *(len(r[0]) for r in rows)])
-        code = np.concatenate([at[r[1] + b] * CONTEXTS + r[2] for r, b in zip(rows, base, strict=False)])
-        n = np.concatenate([r[3] for r in rows])
+        ctxs, ctx_at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        base, ctx_base = (np.cumsum([0, *(len(r[i]) for r in rows)]) for i in (0, 1))
+        code = np.concatenate([at[r[2] + b] * len(ctxs) + ctx_at[r[3] + e] for r, b, e in zip(rows, base, ctx_base, strict=False)])
+        n = np.concatenate([r[4] for r in rows])
         code, n = code[n > 0], n[n > 0]
         code, back = np.unique(code, return_inverse=True)
         n = np.bincount(back, weights=n, minlength=len(code)).astype(np.int64)
-        used, owner = np.unique(code // CONTEXTS, return_inverse=True)
-        word, ctx = word[used], (code % CONTEXTS).astype("u1")
+        used, owner = np.unique(code // len(ctxs), return_inverse=True)
+        word, ctx = word[used], code % len(ctxs)
         c = np.bincount(owner, weights=n, minlength=len(word)).astype(np.int64)
-        stats = [n.sum(), len(word), (c == 1).sum(), (c == 2).sum(), (n == 1).sum(), (n == 2).sum(), *np.bincount(ctx, weights=n, minlength=CONTEXTS), *np.bincount(ctx, minlength=CONTEXTS)]
-        per = np.bincount(owner, minlength=len(word)).astype("u1")
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "words": pa.array([pack(np.diff(word, prepend=np.uint64(0)))], pa.binary()), "per": pa.array([pack(per)], pa.binary()), "ctx": pa.array([pack(ctx)], pa.binary()), "n": pa.array([pack(n)], pa.binary()), "stats": pa.array([[int(x) for x in stats]], pa.list_(pa.int64()))})
+        pair, m = np.unique(owner * CONTEXTS + (ctxs[ctx] & np.uint64(CONTEXTS - 1)).astype(np.int64), return_counts=True)
+        stats = [n.sum(), len(word), *((x == i).sum() for x in (c, m, n) for i in (1, 2)), *np.bincount(pair % CONTEXTS, weights=m, minlength=CONTEXTS), *np.bincount(pair % CONTEXTS, minlength=CONTEXTS)]
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "words": pa.array([pack_up(word)], pa.binary()), "ctxs": pa.array([pack_up(ctxs)], pa.binary()), "ctx": pa.array([pack_up(owner * len(ctxs) + ctx)], pa.binary()), "n": pa.array([pack(n)], pa.binary()), "stats": pa.array([[int(x) for x in stats]], pa.list_(pa.int64()))})
+
+    return entries.groupBy("part").applyInArrow(run, COUNTS)
+
+
+def _ranged(part: int, ctxs: np.ndarray, values: np.ndarray, ranges: int) -> list[dict]:
+    """A part's customers and tables (two rows of values) of its contexts, by ranges of contexts."""
+    at = (ctxs * np.uint64(ranges) >> np.uint64(CTX_BITS)).astype(np.int64)
+    cut = np.searchsorted(at, np.arange(ranges + 1))
+    return [{"part": part, "range": i, "own": pack_up(ctxs[a:b]), "v": pack(values[:, a:b].reshape(-1).astype("<i8"))} for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+
+
+RANGED = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("own", pa.binary()), ("v", pa.binary())])
+
+
+def context_totals(ranged: DataFrame) -> DataFrame:
+    """part, range, v: the sums over all parts, of the contexts that each part has, in its order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["part", "range", "own", "v"]).to_pylist()
+        own = [unpack_up(r["own"]) for r in rows]
+        every, at = np.unique(np.concatenate(own), return_inverse=True)
+        values = np.concatenate([unpack(r["v"], "<i8").reshape(2, -1) for r in rows], axis=1)
+        sums = np.stack([np.bincount(at, weights=v, minlength=len(every)) for v in values]).astype("<i8")
+        cuts = np.split(at, np.cumsum([len(x) for x in own])[:-1])
+        return pa.table({"part": pa.array([r["part"] for r in rows], pa.int32()), "range": pa.array([r["range"] for r in rows], pa.int32()), "v": pa.array([pack(sums[:, c].reshape(-1)) for c in cuts], pa.binary())})
 
-    return entries.groupBy("part").applyInArrow(run, "part int, words binary, per binary, ctx binary, n binary, stats array<long>")
+    return ranged.groupBy("range").applyInArrow(run, "part int, range int, v binary")
 
 
 def seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -197,57 +251,118 @@ class Restaurants:
         return (self.n - w["d1"] * self.t + (THETA + w["d1"] * w["T"][self.ctx]) * self.p0[self.owner]) / (THETA + w["C"][self.ctx])
 
 
+class Contexts:
+    """The restaurants of the words before, of a part's words, over the class restaurants."""
+
+    def __init__(self, table: pa.Table, world: dict):
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["words"] is not None)
+        totals = [unpack(r["v"], "<i8").reshape(2, -1) for r in sorted((r for r in rows if r["words"] is None), key=lambda r: r["range"])]
+        self.part, self.world = row["part"], world
+        self.word, self.ctxs, self.owner, self.ctx = _pairs(row)
+        self.n, (self.customers, self.tables) = unpack(row["n"], "<i8"), np.concatenate(totals, axis=1)
+        self.c = np.bincount(self.owner, weights=self.n, minlength=len(self.word)).astype(np.int64)
+        self.code = self.owner * len(self.ctxs) + self.ctx
+        self.pair, self.up, types = np.unique(self.owner * CONTEXTS + (self.ctxs[self.ctx] & np.uint64(CONTEXTS - 1)).astype(np.int64), return_inverse=True, return_counts=True)
+        per = np.bincount(self.pair // CONTEXTS, minlength=len(self.word)).astype("u1")
+        self.classes = Restaurants({"part": self.part, "words": row["words"], "per": pack(per), "ctx": pack((self.pair % CONTEXTS).astype("u1")), "n": pack(types.astype("<i8"))}, world)
+        # Before any sweep classes and parent know the words by their counts.
+        self.classes.p0 = (self.c + 0.5) / (world["N"] + 0.5 * (world["V"] + 1))
+        self.p1 = self.classes.p0[self.pair // CONTEXTS]
+
+    def sweep(self) -> None:
+        w, r = self.world, self.classes
+        self.open = THETA + w["d2"] * self.tables[self.ctx]
+        self.t = seated(self.n, self.open * self.p1[self.up], w["d2"], r.rng)
+        r.n = np.bincount(self.up, weights=self.t, minlength=len(self.pair)).astype(np.int64)
+        r.sweep()
+        self.p1 = r.predicted()
+
+    def predicted(self) -> np.ndarray:
+        return (self.n - self.world["d2"] * self.t + self.open * self.p1[self.up]) / (THETA + self.customers[self.ctx])
+
+    def totals(self) -> np.ndarray:
+        """Customers and tables of this part's contexts, from its own words."""
+        return np.stack([np.bincount(self.ctx, weights=x, minlength=len(self.ctxs)) for x in (self.n, self.t)])
+
+
 def _world(counts: DataFrame) -> dict:
     """Sums over all parts, as many numbers for any input."""
     size = STATS + 2 * CONTEXTS
     got = [int(x or 0) for x in counts.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(size)]).first()]
-    n, v, w1, w2, e1, e2 = got[:STATS]
+    n, v, w1, w2, c1, c2, e1, e2 = got[:STATS]
     d = lambda one, two: float(min(0.95, max(0.05, one / max(1, one + 2 * two))))
     context, types = np.array(got[STATS : STATS + CONTEXTS], float), np.array(got[STATS + CONTEXTS :], float)
-    return {"N": n, "V": v, "d0": d(w1, w2), "d1": d(e1, e2), "C": context, "T": types, "S": float(v), "round": 0}
+    return {"N": n, "V": v, "d0": d(w1, w2), "d1": d(c1, c2), "d2": d(e1, e2), "C": context, "T": types, "S": float(v), "round": 0}
 
 
-def _resampled(counts: DataFrame, world: dict) -> dict:
-    """Table totals after a round of sweeps."""
+def _first_totals(counts: DataFrame, ranges: int) -> DataFrame:
+    """Totals before any round: each entry has one table."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                r = Restaurants(row, world)
-                for _ in range(BURN_IN):
-                    r.sweep()
-                yield pa.RecordBatch.from_arrays([pa.array([[*np.bincount(r.ctx, weights=r.t, minlength=CONTEXTS), float(r.parent.sum())]], pa.list_(pa.float64()))], ["t"])
+                _, ctxs, _, ctx = _pairs(row)
+                values = np.stack([np.bincount(ctx, weights=unpack(row["n"], "<i8"), minlength=len(ctxs)), np.bincount(ctx, minlength=len(ctxs))])
+                yield from pa.Table.from_pylist(_ranged(row["part"], ctxs, values, ranges), RANGED).to_batches()
+
+    return context_totals(counts.drop("stats").mapInArrow(run, "part int, range int, own binary, v binary"))
+
+
+def _state(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """A part's counts and its contexts' totals, as rows of one table."""
+    return counts.drop("stats").unionByName(totals, allowMissingColumns=True)
+
+
+def _resampled(counts: DataFrame, totals: DataFrame, world: dict, ranges: int) -> tuple[DataFrame, dict]:
+    """Totals of contexts, and of classes and the parent, after a round of sweeps."""
+
+    def run(table: pa.Table) -> pa.Table:
+        r = Contexts(table, world)
+        for _ in range(BURN_IN):
+            r.sweep()
+        k = r.classes
+        sums = [*np.bincount(k.ctx, weights=k.n, minlength=CONTEXTS), *np.bincount(k.ctx, weights=k.t, minlength=CONTEXTS), float(k.parent.sum())]
+        return pa.Table.from_pylist([*_ranged(r.part, r.ctxs, r.totals(), ranges), {"part": r.part, "t": sums}], RANGED.append(pa.field("t", pa.list_(pa.float64()))))
+
+    swept = saved(_state(counts, totals).groupBy("part").applyInArrow(run, "part int, range int, own binary, v binary, t array<double>"), "swept")
+    got = [x or 0.0 for x in swept.where("t is not null").agg(*[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(2 * CONTEXTS + 1)]).first()]
+    now = saved(context_totals(swept.where("range is not null").drop("t")), "totals")
+    return now, world | {"C": np.array(got[:CONTEXTS]), "T": np.array(got[CONTEXTS:-1]), "S": got[-1], "round": world["round"] + 1}
+
 
-    sums = counts.select("part", "words", "per", "ctx", "n").mapInArrow(run, "t array<double>")
-    got = sums.agg(*[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(CONTEXTS + 1)]).first()
-    return world | {"T": np.array([x or 0.0 for x in got[:-1]]), "S": got[-1] or 0.0, "round": world["round"] + 1}
+def _found(sorted_codes: np.ndarray, key: np.ndarray, ok: np.ndarray, values: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The value of each key that is ok and among the codes, else the other one."""
+    if not len(sorted_codes):
+        return other
+    at = np.minimum(np.searchsorted(sorted_codes, key), len(sorted_codes) - 1)
+    return np.where(ok & (sorted_codes[at] == key), values[at], other)
 
 
 def _answers(world: dict):
     """For each block's entries of a part: log10 probability of each entry, training count of each word."""
 
-    def run(requests: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(requests: pa.Table, state: pa.Table) -> pa.Table:
         w = world
-        r = Restaurants(counts.to_pylist()[0], w)
-        p, p0 = np.zeros(len(r.n)), np.zeros(len(r.word))
+        r = Contexts(state, w)
+        k = r.classes
+        p, p1, p0 = np.zeros(len(r.n)), np.zeros(len(r.pair)), np.zeros(len(r.word))
         for i in range(BURN_IN + SAMPLES):
             r.sweep()
             if i >= BURN_IN:
-                p, p0 = p + r.predicted() / SAMPLES, p0 + r.p0 / SAMPLES
-        unseen = (THETA + w["d0"] * w["S"]) * r.base / (THETA + w["T"].sum())
-        back = (THETA + w["d1"] * w["T"]) / (THETA + w["C"])
-        code = r.owner * CONTEXTS + r.ctx
+                p, p1, p0 = p + r.predicted() / SAMPLES, p1 + r.p1 / SAMPLES, p0 + k.p0 / SAMPLES
+        unseen = (THETA + w["d0"] * w["S"]) * k.base / (THETA + w["T"].sum())
+        class_back = (THETA + w["d1"] * w["T"]) / (THETA + w["C"])
+        back = (THETA + w["d2"] * r.tables) / (THETA + r.customers)
         out = {"block": [], "part": [], "lp": [], "c": []}
         for row in requests.to_pylist():
-            word, owner, ctx = _entries(row)
+            word, ctxs, owner, at_ctx = _pairs(row)
+            cls, ctx = (ctxs & np.uint64(CONTEXTS - 1)).astype(np.int64)[at_ctx], np.searchsorted(r.ctxs, ctxs)[at_ctx]
             at = np.minimum(np.searchsorted(r.word, word), max(0, len(r.word) - 1))
             known = r.word[at] == word if len(r.word) else np.zeros(len(word), bool)
             parent = np.where(known, p0[at], unseen) if len(r.word) else np.full(len(word), unseen)
-            prob = back[ctx] * parent[owner]
-            if len(code):
-                key = at[owner] * CONTEXTS + ctx
-                e = np.minimum(np.searchsorted(code, key), len(code) - 1)
-                prob = np.where(known[owner] & (code[e] == key), p[e], prob)
+            prob = _found(r.pair, at[owner] * CONTEXTS + cls, known[owner], p1, class_back[cls] * parent[owner])
+            prob = _found(r.code, at[owner] * len(r.ctxs) + ctx, known[owner], p, back[ctx] * prob)
             c = np.where(known, r.c[at], 0) if len(r.word) else np.zeros(len(word), np.int64)
             out["block"].append(row["block"])
             out["part"].append(row["part"])
@@ -266,7 +381,8 @@ def _scores(world: dict, id_type: str):
         base = np.log10((c + 0.5) / (world["N"] + 0.5 * (world["V"] + 1)))
         row = docs.combine_chunks()
         ids = row.column("ids").chunk(0).flatten()
-        sizes, held, entry = (unpack(row.column(k)[0].as_py(), t) for k, t in (("sizes", "<i8"), ("held", "u1"), ("entries", "<u4")))
+        sizes, held = (unpack(row.column(k)[0].as_py(), t) for k, t in (("sizes", "<i8"), ("held", "u1")))
+        entry = (unpack_up(row.column("entries")[0].as_py()) % np.uint64(len(lp))).astype(np.int64)
         start = np.cumsum(sizes) - sizes
         total = lambda x: np.add.reduceat(x[entry], start)
         return pa.table({"doc_id": ids, "held_out": pa.array(held > 0), "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(sizes), world["N"])), "base_score": pa.array(total(base)), "score": pa.array(total(lp))})
@@ -278,13 +394,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    table = saved(blocks(rows, 2 * n_shuffle(docs.sparkSession)), "blocks")
-    entries = table.where("part is not null").select("block", "part", "words", "per", "ctx")
-    counts = saved(counted(table.where("part is not null").select("part", "words", "per", "ctx", "n")), "counts")
-    world = _world(counts)
+    parts = 2 * n_shuffle(docs.sparkSession)
+    table = saved(blocks(rows, parts), "blocks")
+    entries = table.where("part is not null").select("block", "part", "words", "ctxs", "ctx")
+    counts = saved(counted(table.where("part is not null").select("part", "words", "ctxs", "ctx", "n")), "counts")
+    world, totals = _world(counts), saved(_first_totals(counts, parts), "totals")
     for _ in range(ROUNDS):
-        world = _resampled(counts, world)
-    answers = entries.groupBy("part").cogroup(counts.drop("stats").groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
+        totals, world = _resampled(counts, totals, world, parts)
+    answers = entries.groupBy("part").cogroup(_state(counts, totals).groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
     waiting = table.where("part is null").select("block", "ids", "sizes", "held", "entries")
     return waiting.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(world, id_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

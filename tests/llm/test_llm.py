@@ -208,6 +208,51 @@ def test_pitman_yor_sums_to_one():
         assert r.predicted()[r.ctx == k].sum() + back * unseen == pytest.approx(1, abs=0.05)
 
 
+def test_pitman_yor_tells_words_before_apart(spark):
+    """Words of one class (that end alike) have contexts of their own."""
+    held = [i for i in range(2000) if pitman_yor.held_out(i)]
+    train = [i for i in range(2000) if not pitman_yor.held_out(i)][:300]
+    docs = [(i, "aaing p x bbing q x") for i in train] + list(zip(held, ["aaing p x", "aaing q x", "bbing q x", "bbing p x"], strict=False))
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+    assert got[held[2]] > got[held[3]] + 1
+    # Without training tokens every score is that of the uniform base, over the unseen word alone.
+    only = pitman_yor.scored(spark.createDataFrame([(held[0], "a b"), (held[1], None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in only) == [(held[0], 3, 0.0), (held[1], 1, 0.0)]
+
+
+def test_pitman_yor_contexts_sum_to_one():
+    import numpy as np
+    import pyarrow as pa
+
+    rng, pack, v = np.random.default_rng(3), pitman_yor.pack, 300
+    ctxs = np.array([5, 64 + 5, 128 + 5, 192 + 7], np.uint64)  # three of one class, one of another
+    has = rng.random((v, 4)) < 0.5
+    has[:, 0] = True
+    n = rng.zipf(1.6, int(has.sum())).clip(max=500).astype("<i8")
+    ctx = np.nonzero(has)[1]
+    row = {"part": 0, "words": pitman_yor.pack_up(np.arange(1, v + 1)), "ctxs": pitman_yor.pack_up(ctxs), "ctx": pitman_yor.pack_up(np.nonzero(has)[0] * 4 + ctx), "n": pack(n)}
+    first = np.stack([np.bincount(ctx, weights=n), np.bincount(ctx)]).astype("<i8")
+    world = {"N": int(n.sum()), "V": v, "d0": 0.5, "d1": 0.6, "d2": 0.7, "C": np.full(64, 300.0), "T": np.full(64, 200.0), "S": float(v), "round": 0}
+    r = pitman_yor.Contexts(pa.Table.from_pylist([row, {"part": 0, "range": 0, "v": pack(first.reshape(-1))}], pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("words", "ctxs", "ctx", "n")), ("range", pa.int32()), ("v", pa.binary())])), world)
+    for _ in range(40):  # totals follow the seats
+        r.sweep()
+        r.customers, r.tables = r.totals()
+        world["C"], world["T"] = (np.bincount(r.classes.ctx, weights=x, minlength=64) for x in (r.classes.n, r.classes.t))
+        world["S"] = float(r.classes.parent.sum())
+    r.sweep()
+    p2, unseen = r.predicted(), (1 + world["d0"] * world["S"]) * r.classes.base / (1 + world["T"].sum())
+    for c in range(4):
+        k = int(ctxs[c]) % 64
+        p1 = dict(zip(r.pair, r.p1, strict=True))
+        class_back = (1 + world["d1"] * world["T"][k]) / (1 + world["C"][k])
+        below = lambda w: p1.get(w * 64 + k, class_back * r.classes.p0[w])
+        back = (1 + world["d2"] * r.tables[c]) / (1 + r.customers[c])
+        seen = set(r.owner[r.ctx == c])
+        total = p2[r.ctx == c].sum() + back * (sum(below(w) for w in range(v) if w not in seen) + class_back * unseen)
+        assert total == pytest.approx(1, abs=0.05)
+
+
 def test_seats_follow_the_restaurant_process():
     import numpy as np
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import forget, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,10 +26,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, edges = edges, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        forget(last)
         now = _state(edges)
         if now == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out.saved_at = edges.saved_at
+    return out

@@ -1,23 +1,25 @@
 """LM scoring: a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Restaurants: one for each word that stands before (or the text's start), sharing 64 class restaurants (classes of that word, by
-its last two bytes), sharing one parent restaurant of single words, whose base is uniform over the training vocabulary and one
-unseen word. A word restaurant's customers are the tokens seen there; each of its tables sends one customer to its class, each
-table there one to the parent. Gibbs sweeps seat every dish's customers anew, given all other seats: a customer opens a table
-with weight (theta + d T) p(parent), else joins one with weight n - d t. Large counts are seated in runs of n / 32 customers
-under one probability. Predictive probabilities are averaged over the samples kept.
-
-Distribution: texts are cut into blocks; a block's distinct (word, word before) entries with their training counts are packed and
-dealt out by word hash, so a word's counts in all contexts meet in one task. Seating is local to a word but for the totals of
-customers and tables: those of the classes are a few numbers, summed over all parts after each round; those of the words before
-are summed by ranges of their hash and go back to the parts that have them, so nothing in proportion to the vocabulary meets in
-one place. Answers go back by block, where the tokens wait as positions in the block's entries. All counts come from all training
-documents; tokens are read once. A word before is told by 40 bits of hash.
+Restaurants: one for each word that stands before (or the text's start), sharing one parent restaurant of single words, whose
+base is uniform over the training vocabulary and one unseen word. Each table of a word's restaurant sends one customer to the
+parent. A Gibbs step unseats all customers of a dish in a restaurant and draws their number of tables from its conditional given
+all other seats: generalized Stirling numbers (they sum over the seatings) times (theta + d T)(theta + d (T + 1)).. p(parent)^t.
+A dish that stands once takes one table and needs no drawing. Dishes of all restaurants are drawn in a few random groups, and the
+restaurants' totals follow after each. Dishes of more than EXACT customers are seated one after another instead, in runs of
+n / 32 under one probability. Predictive probabilities are averaged over the samples kept.
+
+Distribution: texts are cut into blocks; a block's distinct (word before, word) entries with their training counts are dealt out by
+ranges of the word before, so a restaurant's seats and totals are in one task, whatever the number of blocks: a frequent word
+comes as counts of distinct followers, never as its tokens. The number of parts follows the bytes of text. Only the parent needs
+an exchange: after each round, customers are summed by ranges of words, the parent is seated, and its customers and tables go back
+to the parts that have the word. The last samples are drawn under one parent, so probabilities sum to one. Answers go back by
+block, where the tokens wait as positions in the block's entries. All counts come from all training documents; texts are read
+once. Words are told by 64 bits of hash, so counts are exact but for collisions.
 
 Results for special cases: a null or empty text has one token, the end; a null identifier counts as the empty text for the
-held-out rule; repeated rows are scored (and, in training, counted) each; very long texts are split over no blocks: each is whole
-in one; without training tokens every score is that of the uniform base; an empty table gives an empty result; other columns are
-passed over.
+held-out rule; repeated rows are scored (and, in training, counted) each; ties don't arise; a very long text is whole in one block;
+without training tokens every score is that of the uniform base; an empty table gives an empty result; other columns are passed
+over.
 """
 
 from __future__ import annotations
@@ -27,91 +29,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import pack, pack_up, unpack, unpack_up
-from .shared import WordHash, n_shuffle, saved
+from .shared import WordHash, forget, saved, text_bytes
 
-CONTEXTS = 64
 BLOCK_TOKENS = 2_000_000
+#: Bytes of text for each part of the restaurants and each range of words.
+PART_BYTES = 16 << 20
 END = b" "
 THETA = 1.0
 BURN_IN, SAMPLES, ROUNDS = 2, 4, 2
+#: Customers of a dish up to which the number of tables is drawn exactly; groups that dishes are drawn in.
+EXACT, GROUPS = 64, 4
 
-
-CTX_BITS = 40
-
-
-def context_of(word: np.ndarray) -> np.ndarray:
-    """Identifier of the word as a context; its lowest bits are the class."""
-    return word >> np.uint64(30) << np.uint64(6) | word & np.uint64(CONTEXTS - 1)
-
-
-class _Words(WordHash):
-    """Hash of a word; its lowest bits are the class that the word is as a context."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) & ~(CONTEXTS - 1) | xxhash.xxh32_intdigest(word[-2:]) % CONTEXTS
-        return h
-
-
-_words = _Words()
-#: Log probabilities travel in steps of 1 / 2048, down to -16 (log10).
-STEP = 2048
+_words = WordHash()
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5 == 1
 
 
-def _block(tokens: list[np.ndarray], train: np.ndarray, parts: int):
-    """Entries of a block in order of (part, word, context), and each token's entry."""
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    h = np.concatenate(tokens)
-    end = np.uint64(_words[END])
-    before = np.concatenate(([end], h[:-1]))
-    before[np.cumsum(sizes) - sizes] = end
-    word, at = np.unique(h, return_inverse=True)
-    part = (word >> np.uint64(20)) % np.uint64(parts)
-    order = np.lexsort((word, part))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    word, part = word[order], part[order]
-    ctx, before = np.unique(context_of(before), return_inverse=True)
-    code, entry = np.unique(place[at] * len(ctx) + before, return_inverse=True)
-    n = np.bincount(entry, weights=np.repeat(train, sizes), minlength=len(code)).astype(np.int64)
-    return sizes, word, part.astype(np.int64), code // len(ctx), ctx[code % len(ctx)], n, entry
+def place(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many equal ranges of hashes each is in."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def discount(one: float, two: float) -> float:
+    """From how many dishes have one customer and two."""
+    return float(min(0.95, max(0.05, one / max(1, one + 2 * two))))
 
 
 def blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """Entry rows (block, part, words, ctxs, ctx, n) and token rows (block, ids, sizes, held, entries), in one pass."""
+    """A row for each part that a block has entries in (words, ctxs, codes, n) and one for its tokens (key < 0: ids, sizes, held,
+    entries), in one pass."""
     kind = dict(rows.dtypes)["id"]
 
     def packed(block: int, ids: list, tokens: list, id_type) -> pa.RecordBatch:
-        held = np.array([held_out(i) for i in ids])
-        sizes, word, part, owner, ctx, n, entry = _block(tokens, ~held, parts)
-        cut_w = np.searchsorted(part, np.arange(parts + 1))
-        cut_e = np.searchsorted(owner, cut_w)
-        some = np.flatnonzero(np.diff(cut_w))
-        piece = lambda x, cut: [pack(x[cut[p] : cut[p + 1]]) for p in some]
+        held, sizes = np.array([held_out(i) for i in ids]), np.array([len(t) for t in tokens], np.int64)
+        every, word = np.unique(np.concatenate(tokens), return_inverse=True)
+        before = np.append(0, word[:-1])
+        before[np.cumsum(sizes) - sizes] = word[-1]  # the end stands before the start
+        code, entry = np.unique(before * len(every) + word, return_inverse=True)
+        n = np.bincount(entry, weights=np.repeat(~held, sizes), minlength=len(code)).astype("<u4")
+        ctx, word = np.divmod(code, len(every))
+        cut = np.searchsorted(place(every, parts)[ctx], np.arange(parts + 1))
+        some, out = np.flatnonzero(np.diff(cut)), []
+        for a, b in zip(cut[some], cut[some + 1], strict=True):
+            c, c_at = np.unique(ctx[a:b], return_inverse=True)
+            w, w_at = np.unique(word[a:b], return_inverse=True)
+            out.append((pack_up(every[w]), pack_up(every[c]), pack_up(c_at * len(w) + w_at), pack(n[a:b])))
         # Only a text's sum counts, so its tokens' entries may ascend.
-        entry = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(owner) + entry)
+        entry = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(code) + entry)
         void = [None] * len(some)
-        ctxs, at = zip(*(np.unique(ctx[cut_e[p] : cut_e[p + 1]], return_inverse=True) for p in some), strict=True)
-        codes = [pack_up((owner[cut_e[p] : cut_e[p + 1]] - cut_w[p]) * len(c) + a) for p, c, a in zip(some, ctxs, at, strict=True)]
         return pa.RecordBatch.from_arrays([
-            pa.array([block] * (len(some) + 1), pa.int64()), pa.array([*map(int, some), None], pa.int32()),
-            pa.array([*(pack_up(word[cut_w[p] : cut_w[p + 1]]) for p in some), None], pa.binary()), pa.array([*map(pack_up, ctxs), None], pa.binary()), pa.array([*codes, None], pa.binary()), pa.array([*piece(n, cut_e), None], pa.binary()),
+            pa.array([*map(int, some), -1 - block], pa.int64()), pa.array([block] * (len(some) + 1), pa.int64()), *(pa.array([*(x[i] for x in out), None], pa.binary()) for i in range(4)),
             pa.array([*void, ids], pa.list_(id_type)), pa.array([*void, pack(sizes)], pa.binary()), pa.array([*void, pack(held.astype("u1"))], pa.binary()), pa.array([*void, pack_up(entry)], pa.binary()),
-        ], ["block", "part", "words", "ctxs", "ctx", "n", "ids", "sizes", "held", "entries"])
+        ], ["key", "block", "words", "ctxs", "codes", "n", "ids", "sizes", "held", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, tokens, size, id_type = TaskContext.get().partitionId() << 32, [], [], 0, None
+        block, ids, tokens, size, id_type = TaskContext.get().partitionId() << 32, [], [], 0, None
         end = np.array([_words[END]], np.uint64)
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -120,270 +99,280 @@ def blocks(rows: DataFrame, parts: int) -> DataFrame:
                 tokens.append(np.concatenate((_words.of((text.as_py() or b"").lower().split()), end)))
                 size += len(tokens[-1])
                 if size >= BLOCK_TOKENS:
-                    yield packed(number, ids, tokens, id_type)
-                    number, ids, tokens, size = number + 1, [], [], 0
+                    yield packed(block, ids, tokens, id_type)
+                    block, ids, tokens, size = block + 1, [], [], 0
         if ids:
-            yield packed(number, ids, tokens, id_type)
+            yield packed(block, ids, tokens, id_type)
+
+    return rows.select("id", "text").mapInArrow(run, f"key long, block long, words binary, ctxs binary, codes binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
 
-    return rows.mapInArrow(run, f"block long, part int, words binary, ctxs binary, ctx binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
 
+def stirling(size: int, d: float) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers of n customers (rows) at t tables (columns), n and t up to size."""
+    s = np.full((size + 1, size + 1), -np.inf)
+    s[0, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for n in range(size):
+            t = np.arange(1, n + 2)
+            s[n + 1, 1 : n + 2] = np.logaddexp(s[n, t - 1], s[n, t] + np.log(np.maximum(n - d * t, 0)))
+    return s
 
-def _entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words, and of each entry: its word's place, its context."""
-    word = np.cumsum(unpack(row["words"], "<u8"), dtype=np.uint64)
-    return word, np.repeat(np.arange(len(word)), unpack(row["per"], "u1")), unpack(row["ctx"], "u1").astype(np.int64)
 
+def seated(n: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of n customers of a dish who enter one after another; others: the restaurant's tables of other dishes."""
+    t = (n > 0).astype(np.int64)
+    at, left = t.copy(), np.flatnonzero(n > 1)
+    while len(left):
+        now, tables, run = at[left], t[left], np.minimum(n[left] - at[left], np.maximum(1, at[left] // 32))
+        a = (THETA + d * (others[left] + tables)) * p[left]
+        t[left] += rng.binomial(run, np.minimum(1.0, a / (a + now - d * tables)))
+        at[left] += run
+        left = left[at[left] < n[left]]
+    return t
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words, contexts (both ascending), and of each entry: its word's place, its context's place."""
-    word, ctxs, code = (unpack_up(row[k]) for k in ("words", "ctxs", "ctx"))
-    return word, ctxs, *(x.astype(np.int64) for x in np.divmod(code, np.uint64(len(ctxs))))
 
+def drawn(n: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of n customers of a dish, drawn from the conditional given all other seats; p: the parent's probability of the dish."""
+    t, table = np.zeros(len(n), np.int64), stirling(EXACT, d)
+    size = np.minimum(n, EXACT + 1)
+    order = np.argsort(size, kind="stable")
+    cut = np.searchsorted(size[order], np.arange(EXACT + 2))
+    for k in range(1, EXACT + 1):
+        for at in np.array_split(order[cut[k] : cut[k + 1]], 1 + (cut[k + 1] - cut[k]) * k // 1_000_000):
+            more = np.log((THETA + d * (others[at, None] + np.arange(1, k))) * p[at, None])
+            weight = table[k, 1 : k + 1] + np.pad(np.cumsum(more, axis=1), ((0, 0), (1, 0)))
+            t[at] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1) if len(at) else 0
+    at = order[cut[EXACT + 1] :]
+    t[at] = seated(n[at], others[at], p[at], d, rng)
+    return t
 
-#: What is summed over all parts: tokens, words; words, class entries and entries seen once and twice; customers and tables by class.
-STATS = 8
-COUNTS = "part int, words binary, ctxs binary, ctx binary, n binary, stats array<long>"
 
+class Seats:
+    """A part's restaurants: entries (ctx, word) with n customers at t tables."""
 
-def counted(entries: DataFrame) -> DataFrame:
-    """A row for each part: its words and entries with counts over all blocks, all contexts (held-out ones too), and stats."""
+    def __init__(self, code: np.ndarray, n: np.ndarray, words: int, ctxs: int, t: np.ndarray | None = None):
+        ctx, word = np.divmod(code, max(1, words))
+        many = n > 1
+        self.many, self.ctx, self.word, self.n = np.flatnonzero(many), ctx[many], word[many], n[many].astype(np.int64)
+        self.singles = np.bincount(word[~many], minlength=words)
+        self.customers = np.bincount(ctx, weights=n, minlength=ctxs)
+        self.t = np.ones(len(self.n), np.int64) if t is None else t
+        self.tables = np.bincount(ctx[~many], minlength=ctxs) + np.bincount(self.ctx, weights=self.t, minlength=ctxs).astype(np.int64)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = [(*_pairs(r), unpack(r["n"], "<i8")) for r in table.to_pylist()]
-        word, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        ctxs, ctx_at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-        base, ctx_base = (np.cumsum([0, *(len(r[i]) for r in rows)]) for i in (0, 1))
-        code = np.concatenate([at[r[2] + b] * len(ctxs) + ctx_at[r[3] + e] for r, b, e in zip(rows, base, ctx_base, strict=False)])
-        n = np.concatenate([r[4] for r in rows])
-        code, n = code[n > 0], n[n > 0]
-        code, back = np.unique(code, return_inverse=True)
-        n = np.bincount(back, weights=n, minlength=len(code)).astype(np.int64)
-        used, owner = np.unique(code // len(ctxs), return_inverse=True)
-        word, ctx = word[used], code % len(ctxs)
-        c = np.bincount(owner, weights=n, minlength=len(word)).astype(np.int64)
-        pair, m = np.unique(owner * CONTEXTS + (ctxs[ctx] & np.uint64(CONTEXTS - 1)).astype(np.int64), return_counts=True)
-        stats = [n.sum(), len(word), *((x == i).sum() for x in (c, m, n) for i in (1, 2)), *np.bincount(pair % CONTEXTS, weights=m, minlength=CONTEXTS), *np.bincount(pair % CONTEXTS, minlength=CONTEXTS)]
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "words": pa.array([pack_up(word)], pa.binary()), "ctxs": pa.array([pack_up(ctxs)], pa.binary()), "ctx": pa.array([pack_up(owner * len(ctxs) + ctx)], pa.binary()), "n": pa.array([pack(n)], pa.binary()), "stats": pa.array([[int(x) for x in stats]], pa.list_(pa.int64()))})
+    def sweep(self, parent: np.ndarray, d: float, rng: np.random.Generator) -> None:
+        group = rng.integers(GROUPS, size=len(self.n))
+        for g in range(GROUPS):
+            at = np.flatnonzero(group == g)
+            ctx, old = self.ctx[at], self.t[at]
+            self.t[at] = drawn(self.n[at], self.tables[ctx] - old, parent[self.word[at]], d, rng)
+            np.add.at(self.tables, ctx, self.t[at] - old)
 
-    return entries.groupBy("part").applyInArrow(run, COUNTS)
+    def sent(self) -> np.ndarray:
+        """Customers that the tables send to the parent, by word."""
+        return self.singles + np.bincount(self.word, weights=self.t, minlength=len(self.singles)).astype(np.int64)
 
 
-def _ranged(part: int, ctxs: np.ndarray, values: np.ndarray, ranges: int) -> list[dict]:
-    """A part's customers and tables (two rows of values) of its contexts, by ranges of contexts."""
-    at = (ctxs * np.uint64(ranges) >> np.uint64(CTX_BITS)).astype(np.int64)
-    cut = np.searchsorted(at, np.arange(ranges + 1))
-    return [{"part": part, "range": i, "own": pack_up(ctxs[a:b]), "v": pack(values[:, a:b].reshape(-1).astype("<i8"))} for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+#: kind: docs (a block's tokens), asked (a block's entries, as places in the part's lists), state (a part's entries), words (a part's
+#: words of a range, with customers sent to the parent and tokens), tables (a part's seats).
+KINDS = "kind string, part int, block long, range int, a binary, b binary, c binary, stats array<long>"
+_FIELDS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("block", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
-RANGED = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("own", pa.binary()), ("v", pa.binary())])
+def _by_range(words: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    cut = np.searchsorted(place(words, ranges), np.arange(ranges + 1))
+    return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
 
 
-def context_totals(ranged: DataFrame) -> DataFrame:
-    """part, range, v: the sums over all parts, of the contexts that each part has, in its order."""
+def _opened(ranges: int, id_type: pa.DataType):
+    """From the blocks' entries of a part: its state after the first sweeps, its words, and what the blocks ask for."""
+    schema = _FIELDS
+    for name, kind in (("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("held", pa.binary()), ("entries", pa.binary())):
+        schema = schema.append(pa.field(name, kind))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["part", "range", "own", "v"]).to_pylist()
-        own = [unpack_up(r["own"]) for r in rows]
-        every, at = np.unique(np.concatenate(own), return_inverse=True)
-        values = np.concatenate([unpack(r["v"], "<i8").reshape(2, -1) for r in rows], axis=1)
-        sums = np.stack([np.bincount(at, weights=v, minlength=len(every)) for v in values]).astype("<i8")
-        cuts = np.split(at, np.cumsum([len(x) for x in own])[:-1])
-        return pa.table({"part": pa.array([r["part"] for r in rows], pa.int32()), "range": pa.array([r["range"] for r in rows], pa.int32()), "v": pa.array([pack(sums[:, c].reshape(-1)) for c in cuts], pa.binary())})
+        if table.column("key")[0].as_py() < 0:
+            own = {"kind": pa.array(["docs"]), "block": table.column("block"), **{k: table.column(k) for k in ("ids", "sizes", "held", "entries")}}
+            return pa.table([own.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
+        part, rows = table.column("key")[0].as_py(), table.select(["block", "words", "ctxs", "codes", "n"]).to_pylist()
+        w, c, codes = ([unpack_up(r[k]) for r in rows] for k in ("words", "ctxs", "codes"))
+        n = np.concatenate([unpack(r["n"], "<u4") for r in rows])
+        words, w_at = np.unique(np.concatenate(w), return_inverse=True)
+        ctxs, c_at = np.unique(np.concatenate(c), return_inverse=True)
+        w_at, c_at = np.split(w_at, np.cumsum([len(x) for x in w])[:-1]), np.split(c_at, np.cumsum([len(x) for x in c])[:-1])
+        code = np.concatenate([cs[k // len(ws)] * len(words) + ws[k % len(ws)] for k, ws, cs in zip((k.astype(np.int64) for k in codes), w_at, c_at, strict=True)])
+        code, at = np.unique(code[n > 0], return_inverse=True)
+        n = np.bincount(at, weights=n[n > 0], minlength=len(code)).astype("<i8")
+        seats = Seats(code, n, len(words), len(ctxs))
+        tokens = np.bincount(code % len(words), weights=n, minlength=len(words)).astype("<i8")
+        one, two = int((n == 1).sum()), int((n == 2).sum())
+        # Before any exchange, the part's own tokens stand for the parent: restaurants are dealt out by hash.
+        guess, rng = (tokens + 0.5) / (tokens.sum() + 0.5 * (len(words) + 1)), np.random.default_rng([0, part])
+        for _ in range(BURN_IN):
+            seats.sweep(guess, discount(one, two), rng)
+        sent = seats.sent().astype("<i8")
+        out = [{"kind": "state", "part": part, "a": pack_up(code), "b": pack(n), "stats": [len(words), len(ctxs), int(n.sum()), one, two]}, {"kind": "tables", "part": part, "a": pack(seats.t.astype("<i8"))}]
+        out += [{"kind": "words", "part": part, "range": i, "a": pack_up(words[s]), "b": pack(sent[s]), "c": pack(tokens[s])} for i, s in _by_range(words, ranges)]
+        out += [{"kind": "asked", "part": part, "block": r["block"], "a": pack_up(ws), "b": pack_up(cs), "c": r["codes"]} for r, ws, cs in zip(rows, w_at, c_at, strict=True)]
+        return pa.Table.from_pylist(out, schema)
 
-    return ranged.groupBy("range").applyInArrow(run, "part int, range int, v binary")
+    return run
 
 
-def seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that c customers of a dish take, a: weight of opening a table."""
-    t = (c > 0).astype(np.int64)
-    n, left = t.copy(), np.flatnonzero(c > 1)
-    while len(left):
-        now, tables, run = n[left], t[left], np.minimum(c[left] - n[left], np.maximum(1, n[left] // 32))
-        t[left] += rng.binomial(run, np.minimum(1.0, a[left] / (a[left] + now - d * tables)))
-        n[left] += run
-        left = left[n[left] < c[left]]
-    return t
+PARENT = "part int, range int, m binary, s binary, c binary, stats array<long>"
 
 
-class Restaurants:
-    """The part of the model that a part's words are."""
+def _parent(world: dict | None, ranges: int, number: int):
+    """Seats the parent's dishes of a range; answers each part with customers, tables and tokens of its words."""
 
-    def __init__(self, row: dict, world: dict):
-        (self.word, self.owner, self.ctx), self.n = _entries(row), unpack(row["n"], "<i8")
-        self.world = world
-        self.c = np.bincount(self.owner, weights=self.n, minlength=len(self.word)).astype(np.int64)
-        self.rng = np.random.default_rng([world["round"], row["part"]])
-        self.base = 1.0 / (world["V"] + 1)
-        # Before any sweep the parent knows the words by their counts.
-        self.p0 = (self.c + 0.5) / (world["N"] + 0.5 * (world["V"] + 1))
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["part", "range", "a", "b", "c"]).to_pylist()
+        lists = {r["part"]: r for r in rows if r["a"] is not None}
+        sent = {r["part"]: unpack(r["b"], "<i8") for r in rows if r["b"] is not None}
+        words, at = np.unique(np.concatenate([unpack_up(r["a"]) for r in lists.values()]), return_inverse=True)
+        total = lambda x: np.bincount(at, weights=np.concatenate(x), minlength=len(words)).astype("<i8")
+        m, c = total([sent[p] for p in lists]), total([unpack(r["c"], "<i8") for r in lists.values()])
+        one, two, known = int((m == 1).sum()), int((m == 2).sum()), int((m > 0).sum())
+        # Before the first sums are known, this range stands for all.
+        d, v, tables = (world["d0"], world["V"], world["S"]) if world else (discount(one, two), known * ranges, known * ranges)
+        s, rng = (m > 0).astype("<i8"), np.random.default_rng([1, number, rows[0]["range"]])
+        for _ in range(BURN_IN):
+            s = drawn(m, np.maximum(0, tables - s), np.full(len(m), 1.0 / (v + 1)), d, rng)
+        cuts = np.split(at, np.cumsum([len(unpack_up(r["a"])) for r in lists.values()])[:-1])
+        out = [{"part": p, "range": r["range"], "m": pack(m[i]), "s": pack(s[i]), "c": pack(c[i])} for (p, r), i in zip(lists.items(), cuts, strict=True)]
+        out.append({"range": rows[0]["range"], "stats": [int(m.sum()), int(s.sum()), known, one, two]})
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("range", pa.int32()), ("m", pa.binary()), ("s", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64()))]))
+
+    return run
 
-    def sweep(self) -> None:
-        w = self.world
-        self.t = seated(self.n, (THETA + w["d1"] * w["T"][self.ctx]) * self.p0[self.owner], w["d1"], self.rng)
-        m = np.bincount(self.owner, weights=self.t, minlength=len(self.word)).astype(np.int64)
-        open_ = THETA + w["d0"] * w["S"]
-        s = seated(m, np.full(len(m), open_ * self.base), w["d0"], self.rng)
-        self.p0 = (m - w["d0"] * s + open_ * self.base) / (THETA + w["T"].sum())
-        self.tables, self.parent = m, s
 
-    def predicted(self) -> np.ndarray:
-        w = self.world
-        return (self.n - w["d1"] * self.t + (THETA + w["d1"] * w["T"][self.ctx]) * self.p0[self.owner]) / (THETA + w["C"][self.ctx])
+def _sums(table: DataFrame, size: int) -> list[int]:
+    got = table.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(size)]).first()
+    return [int(x or 0) for x in got]
 
 
-class Contexts:
-    """The restaurants of the words before, of a part's words, over the class restaurants."""
+class Part:
+    """A part's restaurants under the parent, from its rows of state, tables and parent."""
 
     def __init__(self, table: pa.Table, world: dict):
         rows = table.to_pylist()
-        row = next(r for r in rows if r["words"] is not None)
-        totals = [unpack(r["v"], "<i8").reshape(2, -1) for r in sorted((r for r in rows if r["words"] is None), key=lambda r: r["range"])]
-        self.part, self.world = row["part"], world
-        self.word, self.ctxs, self.owner, self.ctx = _pairs(row)
-        self.n, (self.customers, self.tables) = unpack(row["n"], "<i8"), np.concatenate(totals, axis=1)
-        self.c = np.bincount(self.owner, weights=self.n, minlength=len(self.word)).astype(np.int64)
-        self.code = self.owner * len(self.ctxs) + self.ctx
-        self.pair, self.up, types = np.unique(self.owner * CONTEXTS + (self.ctxs[self.ctx] & np.uint64(CONTEXTS - 1)).astype(np.int64), return_inverse=True, return_counts=True)
-        per = np.bincount(self.pair // CONTEXTS, minlength=len(self.word)).astype("u1")
-        self.classes = Restaurants({"part": self.part, "words": row["words"], "per": pack(per), "ctx": pack((self.pair % CONTEXTS).astype("u1")), "n": pack(types.astype("<i8"))}, world)
-        # Before any sweep classes and parent know the words by their counts.
-        self.classes.p0 = (self.c + 0.5) / (world["N"] + 0.5 * (world["V"] + 1))
-        self.p1 = self.classes.p0[self.pair // CONTEXTS]
+        state = next(r for r in rows if r["kind"] == "state")
+        t = next(unpack(r["a"], "<i8") for r in rows if r["kind"] == "tables")
+        parent = sorted((r for r in rows if r["kind"] is None), key=lambda r: r["range"])
+        self.world, self.part, self.code, self.n = world, state["part"], unpack_up(state["a"]).astype(np.int64), unpack(state["b"], "<i8")
+        self.ranges = [r["range"] for r in parent]
+        m, s, self.tokens = (np.concatenate([unpack(r[k], "<i8") for r in parent]) for k in ("m", "s", "c"))
+        self.ends = np.cumsum([len(unpack(r["m"], "<i8")) for r in parent])
+        self.parent = (m - world["d0"] * s + world["back"]) / (THETA + world["M"])
+        self.words, self.ctxs = state["stats"][:2]
+        self.seats = Seats(self.code, self.n, self.words, self.ctxs, t.astype(np.int64).copy())
+        self.rng = np.random.default_rng([2, world["number"], self.part])
 
     def sweep(self) -> None:
-        w, r = self.world, self.classes
-        self.open = THETA + w["d2"] * self.tables[self.ctx]
-        self.t = seated(self.n, self.open * self.p1[self.up], w["d2"], r.rng)
-        r.n = np.bincount(self.up, weights=self.t, minlength=len(self.pair)).astype(np.int64)
-        r.sweep()
-        self.p1 = r.predicted()
-
-    def predicted(self) -> np.ndarray:
-        return (self.n - self.world["d2"] * self.t + self.open * self.p1[self.up]) / (THETA + self.customers[self.ctx])
-
-    def totals(self) -> np.ndarray:
-        """Customers and tables of this part's contexts, from its own words."""
-        return np.stack([np.bincount(self.ctx, weights=x, minlength=len(self.ctxs)) for x in (self.n, self.t)])
-
-
-def _world(counts: DataFrame) -> dict:
-    """Sums over all parts, as many numbers for any input."""
-    size = STATS + 2 * CONTEXTS
-    got = [int(x or 0) for x in counts.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(size)]).first()]
-    n, v, w1, w2, c1, c2, e1, e2 = got[:STATS]
-    d = lambda one, two: float(min(0.95, max(0.05, one / max(1, one + 2 * two))))
-    context, types = np.array(got[STATS : STATS + CONTEXTS], float), np.array(got[STATS + CONTEXTS :], float)
-    return {"N": n, "V": v, "d0": d(w1, w2), "d1": d(c1, c2), "d2": d(e1, e2), "C": context, "T": types, "S": float(v), "round": 0}
-
-
-def _first_totals(counts: DataFrame, ranges: int) -> DataFrame:
-    """Totals before any round: each entry has one table."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, ctxs, _, ctx = _pairs(row)
-                values = np.stack([np.bincount(ctx, weights=unpack(row["n"], "<i8"), minlength=len(ctxs)), np.bincount(ctx, minlength=len(ctxs))])
-                yield from pa.Table.from_pylist(_ranged(row["part"], ctxs, values, ranges), RANGED).to_batches()
-
-    return context_totals(counts.drop("stats").mapInArrow(run, "part int, range int, own binary, v binary"))
+        self.seats.sweep(self.parent, self.world["d1"], self.rng)
 
+    def averaged(self) -> None:
+        """Tables of entries and restaurants, averaged over the samples: probabilities are linear in them."""
+        t, tables = np.zeros(len(self.seats.t)), np.zeros(self.ctxs)
+        for i in range(BURN_IN + SAMPLES):
+            self.sweep()
+            if i >= BURN_IN:
+                t, tables = t + self.seats.t / SAMPLES, tables + self.seats.tables / SAMPLES
+        self.t = np.ones(len(self.n))
+        self.t[self.seats.many] = t
+        self.tables = tables
 
-def _state(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """A part's counts and its contexts' totals, as rows of one table."""
-    return counts.drop("stats").unionByName(totals, allowMissingColumns=True)
+    def predicted(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Averaged probability of each word behind each context (places in the part's lists)."""
+        d, code = self.world["d1"], ctx * self.words + word
+        room = THETA + self.seats.customers[ctx]
+        own = np.zeros(len(code))
+        if len(self.code):
+            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+            own = np.where(self.code[at] == code, self.n[at] - d * self.t[at], 0.0)
+        return (own + (THETA + d * self.tables[ctx]) * self.parent[word]) / room
 
 
-def _resampled(counts: DataFrame, totals: DataFrame, world: dict, ranges: int) -> tuple[DataFrame, dict]:
-    """Totals of contexts, and of classes and the parent, after a round of sweeps."""
+def _swept(world: dict):
+    """A round of a part: its tables, and what they send to the parent."""
 
     def run(table: pa.Table) -> pa.Table:
-        r = Contexts(table, world)
+        p = Part(table, world)
         for _ in range(BURN_IN):
-            r.sweep()
-        k = r.classes
-        sums = [*np.bincount(k.ctx, weights=k.n, minlength=CONTEXTS), *np.bincount(k.ctx, weights=k.t, minlength=CONTEXTS), float(k.parent.sum())]
-        return pa.Table.from_pylist([*_ranged(r.part, r.ctxs, r.totals(), ranges), {"part": r.part, "t": sums}], RANGED.append(pa.field("t", pa.list_(pa.float64()))))
-
-    swept = saved(_state(counts, totals).groupBy("part").applyInArrow(run, "part int, range int, own binary, v binary, t array<double>"), "swept")
-    got = [x or 0.0 for x in swept.where("t is not null").agg(*[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(2 * CONTEXTS + 1)]).first()]
-    now = saved(context_totals(swept.where("range is not null").drop("t")), "totals")
-    return now, world | {"C": np.array(got[:CONTEXTS]), "T": np.array(got[CONTEXTS:-1]), "S": got[-1], "round": world["round"] + 1}
+            p.sweep()
+        sent = np.split(p.seats.sent().astype("<i8"), p.ends[:-1])
+        out = [{"kind": "tables", "part": p.part, "a": pack(p.seats.t.astype("<i8"))}, *({"kind": "words", "part": p.part, "range": r, "b": pack(x)} for r, x in zip(p.ranges, sent, strict=True))]
+        return pa.Table.from_pylist(out, _FIELDS)
 
-
-def _found(sorted_codes: np.ndarray, key: np.ndarray, ok: np.ndarray, values: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The value of each key that is ok and among the codes, else the other one."""
-    if not len(sorted_codes):
-        return other
-    at = np.minimum(np.searchsorted(sorted_codes, key), len(sorted_codes) - 1)
-    return np.where(ok & (sorted_codes[at] == key), values[at], other)
+    return run
 
 
 def _answers(world: dict):
-    """For each block's entries of a part: log10 probability of each entry, training count of each word."""
+    """For each block's entries of a part: log10 probability, and training count of the word."""
 
-    def run(requests: pa.Table, state: pa.Table) -> pa.Table:
-        w = world
-        r = Contexts(state, w)
-        k = r.classes
-        p, p1, p0 = np.zeros(len(r.n)), np.zeros(len(r.pair)), np.zeros(len(r.word))
-        for i in range(BURN_IN + SAMPLES):
-            r.sweep()
-            if i >= BURN_IN:
-                p, p1, p0 = p + r.predicted() / SAMPLES, p1 + r.p1 / SAMPLES, p0 + k.p0 / SAMPLES
-        unseen = (THETA + w["d0"] * w["S"]) * k.base / (THETA + w["T"].sum())
-        class_back = (THETA + w["d1"] * w["T"]) / (THETA + w["C"])
-        back = (THETA + w["d2"] * r.tables) / (THETA + r.customers)
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        p = Part(state, world)
+        p.averaged()
         out = {"block": [], "part": [], "lp": [], "c": []}
-        for row in requests.to_pylist():
-            word, ctxs, owner, at_ctx = _pairs(row)
-            cls, ctx = (ctxs & np.uint64(CONTEXTS - 1)).astype(np.int64)[at_ctx], np.searchsorted(r.ctxs, ctxs)[at_ctx]
-            at = np.minimum(np.searchsorted(r.word, word), max(0, len(r.word) - 1))
-            known = r.word[at] == word if len(r.word) else np.zeros(len(word), bool)
-            parent = np.where(known, p0[at], unseen) if len(r.word) else np.full(len(word), unseen)
-            prob = _found(r.pair, at[owner] * CONTEXTS + cls, known[owner], p1, class_back[cls] * parent[owner])
-            prob = _found(r.code, at[owner] * len(r.ctxs) + ctx, known[owner], p, back[ctx] * prob)
-            c = np.where(known, r.c[at], 0) if len(r.word) else np.zeros(len(word), np.int64)
-            out["block"].append(row["block"])
-            out["part"].append(row["part"])
-            out["lp"].append(pack(np.rint(np.maximum(np.log10(prob), -15.99) * STEP).astype("<i2")))
-            out["c"].append(pack(np.repeat(c, np.bincount(owner, minlength=len(word)))))
+        for row in asked.to_pylist():
+            w, c, code = (unpack_up(row[k]).astype(np.int64) for k in ("word_at", "ctx_at", "codes"))
+            ctx, word = c[code // len(w)], w[code % len(w)]
+            for k, v in zip(out, (row["block"], p.part, pack(np.log10(p.predicted(ctx, word)).astype("<f4")), pack(p.tokens[word])), strict=True):
+                out[k].append(v)
         return pa.table(out, pa.schema([("block", pa.int64()), ("part", pa.int32()), ("lp", pa.binary()), ("c", pa.binary())]))
 
     return run
 
 
-def _scores(world: dict, id_type: str):
+def _scores(world: dict):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part").to_pylist()
-        lp = np.concatenate([unpack(a["lp"], "<i2") for a in answers]) / STEP
+        lp = np.concatenate([unpack(a["lp"], "<f4") for a in answers]).astype(float)
         c = np.concatenate([unpack(a["c"], "<i8") for a in answers])
         base = np.log10((c + 0.5) / (world["N"] + 0.5 * (world["V"] + 1)))
         row = docs.combine_chunks()
-        ids = row.column("ids").chunk(0).flatten()
         sizes, held = (unpack(row.column(k)[0].as_py(), t) for k, t in (("sizes", "<i8"), ("held", "u1")))
         entry = (unpack_up(row.column("entries")[0].as_py()) % np.uint64(len(lp))).astype(np.int64)
         start = np.cumsum(sizes) - sizes
         total = lambda x: np.add.reduceat(x[entry], start)
-        return pa.table({"doc_id": ids, "held_out": pa.array(held > 0), "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(sizes), world["N"])), "base_score": pa.array(total(base)), "score": pa.array(total(lp))})
+        return pa.table({"doc_id": row.column("ids")[0].values, "held_out": pa.array(held > 0), "n_tokens": pa.array(sizes), "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(sizes), world["N"])), "base_score": pa.array(total(base)), "score": pa.array(total(lp))})
 
     return run
 
 
+def trained(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """What waits (docs, asked), each part's rows (state, tables, parent) and sums over all parts."""
+    kind = dict(rows.dtypes)["id"]
+    parts = 1 + text_bytes(rows) // PART_BYTES
+    id_type = pa.schema(rows.select("id").limit(0).toArrow().schema).field(0).type
+    opened = blocks(rows, parts).groupBy("key").applyInArrow(_opened(parts, id_type), f"{KINDS}, ids array<{kind}>, sizes binary, held binary, entries binary")
+    table = saved(opened, "opened", by="kind")
+    of = lambda kind: table.where(F.col("kind") == kind)
+    state = of("state").select("kind", "part", "a", "b", "stats")
+    n, one, two = _sums(state.select(F.slice("stats", 3, 3).alias("stats")), 3)
+    world = {"N": n, "d1": discount(one, two), "number": 0}
+    tables, sent, swept = of("tables").select("kind", "part", "a"), of("words").select("part", "range", "a", "b", "c"), None
+    for number in range(ROUNDS):
+        parent = saved(sent.groupBy("range").applyInArrow(_parent(dict(world) if number else None, parts, number), PARENT), "parent")
+        m, s, v, one, two = _sums(parent.where("stats is not null"), 5)
+        d = discount(one, two)
+        world |= {"M": m, "S": s, "V": v, "d0": d, "back": (THETA + d * s) / (v + 1), "number": number + 1}
+        mine = state.unionByName(tables, allowMissingColumns=True).unionByName(parent.where("part is not null").drop("stats"), allowMissingColumns=True)
+        if number + 1 < ROUNDS:
+            last, swept = swept, saved(mine.groupBy("part").applyInArrow(_swept(dict(world)), KINDS), "swept")
+            forget(parent, *filter(None, [last]))
+            tables = swept.where("kind = 'tables'").select("kind", "part", "a")
+            sent = of("words").select("part", "range", "a", "c").unionByName(swept.where("kind = 'words'").select("part", "range", "b"), allowMissingColumns=True)
+    return table, mine, world
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = dict(rows.dtypes)["id"]
-    parts = 2 * n_shuffle(docs.sparkSession)
-    table = saved(blocks(rows, parts), "blocks")
-    entries = table.where("part is not null").select("block", "part", "words", "ctxs", "ctx")
-    counts = saved(counted(table.where("part is not null").select("part", "words", "ctxs", "ctx", "n")), "counts")
-    world, totals = _world(counts), saved(_first_totals(counts, parts), "totals")
-    for _ in range(ROUNDS):
-        totals, world = _resampled(counts, totals, world, parts)
-    answers = entries.groupBy("part").cogroup(_state(counts, totals).groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
-    waiting = table.where("part is null").select("block", "ids", "sizes", "held", "entries")
-    return waiting.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(world, id_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    table, mine, world = trained(rows)
+    asked = table.where("kind = 'asked'").select(F.col("part").alias("of"), "block", F.col("a").alias("word_at"), F.col("b").alias("ctx_at"), F.col("c").alias("codes"))
+    answers = asked.groupBy("of").cogroup(mine.groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
+    waiting = table.where("kind = 'docs'").select("block", "ids", "sizes", "held", "entries")
+    return waiting.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(world), f"doc_id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

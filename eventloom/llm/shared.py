@@ -27,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written as a table in the shared folder (in folders by a column's values, if named) and read again: cuts the lineage and
+    survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

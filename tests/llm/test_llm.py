@@ -186,26 +186,129 @@ def test_pitman_yor(spark, texts):
     assert again == {r["doc_id"]: r["score"] for r in got}
 
 
-def test_pitman_yor_sums_to_one():
+def parts_of(rows):
+    """The parts of a model as it is trained, with its sums."""
+    import pyarrow as pa
+
+    _, mine, world = pitman_yor.trained(rows)
+    table = mine.toArrow()
+    numbers = sorted(set(table.column("part").to_pylist()))
+    parts = [pitman_yor.Part(table.filter(pa.compute.equal(table.column("part"), n)), world) for n in numbers]
+    for p in parts:
+        p.averaged()
+    return parts, world
+
+
+def test_pitman_yor_sums_to_one(spark, texts, monkeypatch):
+    """On the production path, over several parts: each context's averaged probabilities of all words sum to one."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    words_ = np.arange(500, dtype=np.uint64)
-    n = rng.zipf(1.5, 500 * 3).clip(max=2000)
-    pack = pitman_yor.pack
-    row = {"part": 0, "words": pack(np.diff(words_, prepend=np.uint64(0))), "per": pack(np.full(500, 3, "u1")), "ctx": pack(np.tile(np.arange(3, dtype="u1"), 500)), "n": pack(n.astype("<i8"))}
-    c = np.bincount(np.tile(np.arange(3), 500), weights=n, minlength=64)
-    world = {"N": n.sum(), "V": 500, "d0": 0.5, "d1": 0.6, "C": c, "T": np.bincount(np.tile(np.arange(3), 500), minlength=64).astype(float), "S": 500.0, "round": 0}
-    r = pitman_yor.Restaurants(row, world)
-    for _ in range(30):  # totals follow the seats
-        r.sweep()
-        world["T"], world["S"] = np.bincount(r.ctx, weights=r.t, minlength=64), float(r.parent.sum())
-    r.sweep()
-    unseen = (1 + world["d0"] * world["S"]) * r.base / (1 + world["T"].sum())
-    assert r.p0.sum() + unseen == pytest.approx(1, abs=0.05)
-    for k in range(3):
-        back = (1 + world["d1"] * world["T"][k]) / (1 + world["C"][k])
-        assert r.predicted()[r.ctx == k].sum() + back * unseen == pytest.approx(1, abs=0.05)
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 200_000)
+    parts, world = parts_of(spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3))
+    assert len(parts) > 1
+    unseen, contexts = world["back"] / (pitman_yor.THETA + world["M"]), 0
+    for p in parts:
+        # Words of the vocabulary that the part doesn't have get their share of the parent alone.
+        known = p.tokens > 0
+        absent = 1 - p.parent[known].sum()
+        for c in range(0, p.ctxs, 37):
+            back = (pitman_yor.THETA + world["d1"] * p.tables[c]) / (pitman_yor.THETA + p.seats.customers[c])
+            total = p.predicted(np.full(known.sum(), c), np.flatnonzero(known)).sum() + back * absent
+            assert total == pytest.approx(1, abs=1e-6)
+            contexts += 1
+    assert contexts > 100
+    # The parent's probabilities over all parts' words, each once, and the unseen word sum to one too.
+    import pyarrow.parquet  # noqa: F401
+
+    tokens = Counter(w for i, t in texts.items() if not pitman_yor.held_out(i) for w in [*(t or "").encode().lower().split(), pitman_yor.END])
+    assert world["V"] == len(tokens)
+    everything, _ = parts_of_whole(spark, texts, monkeypatch)
+    known = everything.tokens > 0
+    assert known.sum() == len(tokens)
+    assert everything.parent[known].sum() + everything.world["back"] / (pitman_yor.THETA + everything.world["M"]) == pytest.approx(1, abs=1e-6)
+    assert unseen > 0
+
+
+def parts_of_whole(spark, texts, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 1 << 40)
+    parts, world = parts_of(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    return parts[0], world
+
+
+def test_pitman_yor_against_slow_gibbs(spark):
+    """A sampler that takes customers one by one away from their tables and seats them again agrees in the scores."""
+    import random
+    from math import log10
+
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(25)]
+    chain = {w: rng.sample(vocab, 4) for w in vocab}
+    docs = {}
+    for i in range(120):
+        w = [rng.choice(vocab)]
+        while len(w) < 25:
+            w.append(rng.choice(chain[w[-1]]) if rng.random() < 0.8 else rng.choice(vocab))
+        docs[i] = w
+    _, _, world = pitman_yor.trained(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "id long, text string"))
+    d1, d0, theta = world["d1"], world["d0"], pitman_yor.THETA
+    end, context, parent = None, {}, {}  # restaurants: dish -> sizes of tables
+    base = 1 / (world["V"] + 1)
+
+    def prob0(w):
+        t, c, k = parent.get(w, []), sum(map(sum, parent.values())), sum(map(len, parent.values()))
+        return (sum(t) - d0 * len(t) + (theta + d0 * k) * base) / (theta + c)
+
+    def seat(r, dish, d, p):
+        tables = r.setdefault(dish, [])
+        k = sum(map(len, r.values()))
+        u = rng.random() * (sum(tables) - d * len(tables) + (theta + d * k) * p)
+        for j, size in enumerate(tables):
+            u -= size - d
+            if u < 0:
+                tables[j] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(r, dish):
+        tables = r[dish]
+        j = rng.choices(range(len(tables)), tables)[0]
+        tables[j] -= 1
+        if not tables[j]:
+            tables.pop(j)
+            return True
+        return False
+
+    def enter(u, w):
+        if seat(context.setdefault(u, {}), w, d1, prob0(w)):
+            seat(parent, w, d0, base)
+
+    train = [(u, w) for i, t in docs.items() if not pitman_yor.held_out(i) for u, w in zip([end, *t], [*t, end], strict=True)]
+    held = [(i, list(zip([end, *t], [*t, end], strict=True))) for i, t in docs.items() if pitman_yor.held_out(i)]
+    for u, w in train:
+        enter(u, w)
+    sums, samples = {}, 12
+    for sweep in range(6 + samples):
+        for u, w in train:
+            if leave(context[u], w):
+                leave(parent, w)
+            enter(u, w)
+        if sweep >= 6:
+            for u, w in {x for _, t in held for x in t}:
+                r = context.get(u, {})
+                t, c, k = r.get(w, []), sum(map(sum, r.values())), sum(map(len, r.values()))
+                sums[u, w] = sums.get((u, w), 0) + (sum(t) - d1 * len(t) + (theta + d1 * k) * prob0(w)) / (theta + c) / samples
+    slow = {i: sum(log10(sums[x]) for x in t) for i, t in held}
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scored(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in slow) == pytest.approx(sum(slow.values()), rel=0.01)
+    assert all(got[i] == pytest.approx(slow[i], rel=0.05) for i in slow)
+
+
+def test_pitman_yor_special_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 50_000)
+    got = Counter(tuple(r)[:3] for r in pitman_yor.scored(odd).collect())
+    assert got == Counter((r[0], pitman_yor.held_out(r[0]), 1 + len(words(r[1]))) for r in ROWS)
+    assert pitman_yor.scored(odd.limit(0)).count() == 0
 
 
 def test_pitman_yor_tells_words_before_apart(spark):
@@ -221,50 +324,31 @@ def test_pitman_yor_tells_words_before_apart(spark):
     assert sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in only) == [(held[0], 3, 0.0), (held[1], 1, 0.0)]
 
 
-def test_pitman_yor_contexts_sum_to_one():
-    import numpy as np
-    import pyarrow as pa
-
-    rng, pack, v = np.random.default_rng(3), pitman_yor.pack, 300
-    ctxs = np.array([5, 64 + 5, 128 + 5, 192 + 7], np.uint64)  # three of one class, one of another
-    has = rng.random((v, 4)) < 0.5
-    has[:, 0] = True
-    n = rng.zipf(1.6, int(has.sum())).clip(max=500).astype("<i8")
-    ctx = np.nonzero(has)[1]
-    row = {"part": 0, "words": pitman_yor.pack_up(np.arange(1, v + 1)), "ctxs": pitman_yor.pack_up(ctxs), "ctx": pitman_yor.pack_up(np.nonzero(has)[0] * 4 + ctx), "n": pack(n)}
-    first = np.stack([np.bincount(ctx, weights=n), np.bincount(ctx)]).astype("<i8")
-    world = {"N": int(n.sum()), "V": v, "d0": 0.5, "d1": 0.6, "d2": 0.7, "C": np.full(64, 300.0), "T": np.full(64, 200.0), "S": float(v), "round": 0}
-    r = pitman_yor.Contexts(pa.Table.from_pylist([row, {"part": 0, "range": 0, "v": pack(first.reshape(-1))}], pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("words", "ctxs", "ctx", "n")), ("range", pa.int32()), ("v", pa.binary())])), world)
-    for _ in range(40):  # totals follow the seats
-        r.sweep()
-        r.customers, r.tables = r.totals()
-        world["C"], world["T"] = (np.bincount(r.classes.ctx, weights=x, minlength=64) for x in (r.classes.n, r.classes.t))
-        world["S"] = float(r.classes.parent.sum())
-    r.sweep()
-    p2, unseen = r.predicted(), (1 + world["d0"] * world["S"]) * r.classes.base / (1 + world["T"].sum())
-    for c in range(4):
-        k = int(ctxs[c]) % 64
-        p1 = dict(zip(r.pair, r.p1, strict=True))
-        class_back = (1 + world["d1"] * world["T"][k]) / (1 + world["C"][k])
-        below = lambda w: p1.get(w * 64 + k, class_back * r.classes.p0[w])
-        back = (1 + world["d2"] * r.tables[c]) / (1 + r.customers[c])
-        seen = set(r.owner[r.ctx == c])
-        total = p2[r.ctx == c].sum() + back * (sum(below(w) for w in range(v) if w not in seen) + class_back * unseen)
-        assert total == pytest.approx(1, abs=0.05)
-
-
-def test_seats_follow_the_restaurant_process():
+def test_tables_are_drawn_from_their_conditional():
+    """Stirling numbers against all seatings, drawn tables against their exact distribution, long runs against one by one."""
     import numpy as np
 
-    rng, d, a, c = np.random.default_rng(2), 0.5, 3.0, 40
+    def seatings(n, t, d):
+        if n == 0:
+            return float(t == 0)
+        return (seatings(n - 1, t - 1, d) if t else 0) + max(0.0, n - 1 - d * t) * seatings(n - 1, t, d)
+
+    table = pitman_yor.stirling(7, 0.4)
+    for n in range(1, 8):
+        for t in range(1, n + 1):
+            assert np.exp(table[n, t]) == pytest.approx(seatings(n, t, 0.4))
+    rng, n, d, p, others = np.random.default_rng(2), 6, 0.4, 0.3, 5
+    weight = [seatings(n, t, d) * np.prod([(pitman_yor.THETA + d * (others + j)) * p for j in range(t)]) for t in range(1, n + 1)]
+    got = np.bincount(pitman_yor.drawn(np.full(40_000, n), np.full(40_000, others), np.full(40_000, p), d, rng), minlength=n + 1)[1:] / 40_000
+    assert got == pytest.approx(np.array(weight) / sum(weight), abs=0.01)
     slow = []
     for _ in range(3000):
-        t, n = 1, 1
-        while n < c:
-            t += rng.random() < a / (a + n - d * t)
-            n += 1
+        t = 1
+        for i in range(1, 100):
+            a = (pitman_yor.THETA + d * (others + t)) * p
+            t += rng.random() < a / (a + i - d * t)
         slow.append(t)
-    fast = pitman_yor.seated(np.full(3000, c), np.full(3000, a), d, rng)
+    fast = pitman_yor.seated(np.full(3000, 100), np.full(3000, others), np.full(3000, p), d, rng)
     assert np.mean(fast) == pytest.approx(np.mean(slow), rel=0.03)
 
 

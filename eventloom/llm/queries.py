@@ -52,11 +52,11 @@ OP6 = r"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host,
          CASE WHEN html IS NULL OR html = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) END AS lines FROM pages),
-own AS (SELECT page_id, host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM p),
+own AS (SELECT page_id, host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM p),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 bad AS (SELECT o.host, o.line FROM own o JOIN totals t ON o.host = t.host GROUP BY o.host, o.line, t.pages HAVING count(*) >= 3 AND count(*) * 100 > t.pages * 30),
 lists AS (SELECT host, list(line) AS bad FROM bad GROUP BY host),
-kept AS (SELECT p.page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []::VARCHAR[]), trim(x, ' '))) AS kept FROM p LEFT JOIN lists USING (host))
+kept AS (SELECT p.page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM p LEFT JOIN lists USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS clean_sha256 FROM kept
 """
 

@@ -401,6 +401,12 @@ def test_mixing_odd(spark, odd):
         n[r["doc_id"]] += len(words(r["text"]))
     assert {k: v for k, v in taken.items() if v} == dict(n)
     assert mixing.mix(odd.limit(0)).count() == 0
+    # Rows that share an identifier but not the text are told apart; repeated rows stand for one, with the words of all.
+    total = sum(r["taken"] for r in got)
+    mixed = mixing.mixed_docs(odd, range_rows=2)
+    assert mixed.columns == odd.columns
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == total
+    assert mixing.mixed_docs(odd.limit(0)).count() == 0
 
 
 def test_mixing_targets_reshare(spark):
@@ -425,13 +431,25 @@ def test_line_dedup_odd(spark):
     assert (got[10], got[11], got[12], got[13]) == ((0, "nav\n\nx"), (0, ""), (0, ""), (0, "nav"))
 
 
+def test_line_dedup_blanks(spark):
+    """Lines are compared without tabs, spaces and carriage returns around them; lines of only those are blank and stay."""
+    rows = [(i, "h", f"\tnav\r\n \t\nown {i}\nnav \r\n\r\n\u00a0") for i in range(5)] + [(2, "h", "\tnav\r\n \t\nown 2\nnav \r\n\r\n\u00a0")] * 2 + [(9, None, "nav"), (None, "h", "nav\nz"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "page_id long, host string, text string").withColumn("own", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("line", F.lit("x"))
+    got = Counter(tuple(r) for r in line_dedup.drop_boilerplate(docs, "page_id", F.col("host"), F.col("text")).collect())
+    # The no-break space is no blank here, so it is a line of its own, and boilerplate.
+    want = Counter((i, "h", 6, 3, f" \t\nown {i}\n\r") for i in (0, 1, 3, 4)) + Counter({(2, "h", 6, 4, " \t\n\r"): 3})  # on 3 of 8 pages
+    assert got == want + Counter({(9, None, 1, 0, "nav"): 1, (None, "h", 2, 1, "z"): 1, (None, None, 0, 0, ""): 1})
+    assert line_dedup.drop_boilerplate(docs.limit(0), "page_id", F.col("host"), F.col("text")).count() == 0
+
+
 def test_exact_dedup_odd(odd):
-    for fan_in in (2, 16):
+    for fan_in in (2, 3, 4, 16):
         got = Counter(map(tuple, exact_dedup.exact_groups(odd.repartition(9), fan_in=fan_in).select("doc_id", "keep_id", "group_size", "kept").collect()))
         assert got == Counter({(1, 2, 3, False): 1, (2, 2, 3, True): 1, (None, 2, 3, False): 1, (3, 4, 4, False): 1, (4, 4, 4, True): 2, (None, 4, 4, False): 1, (6, 6, 1, True): 1, (7, 7, 1, True): 1, (8, 8, 1, True): 1, (9, 9, 1, True): 1})
     kept = exact_dedup.dedup(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 6, 7, 8, 9]
+    assert exact_dedup.dedup(odd.limit(0)).count() == 0
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 

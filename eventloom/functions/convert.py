@@ -9,11 +9,15 @@ coalesce, append, prepend = F.coalesce, F.array_append, F.array_prepend
 
 
 def to_int(x: Column, kind: str = "string") -> Column:
-    """bool: 0 or 1; float: truncated; timestamp: nanoseconds; string: trimmed 64-bit integer or null."""
+    """bool: 0 or 1; double: truncated, the nearest 64-bit integer where it is out of their range, null where it isn't finite;
+    timestamp: nanoseconds; string: trimmed 64-bit integer or null."""
     if kind == "timestamp":
         return F.unix_micros(x) * 1000
     if kind == "string":
         return F.when(F.trim(x).rlike(r"^[+-]?[0-9]+$"), F.trim(x).try_cast("long"))
+    if kind == "double":
+        top, low = F.lit(2**63 - 1), F.lit(-(2**63))
+        return F.when(F.abs(x) < float("inf"), F.when(x >= 2.0**63, top).when(x <= -(2.0**63), low).otherwise(F.when(F.abs(x) < 2.0**63, x).cast("long")))
     return x.cast("long")
 
 
@@ -64,6 +68,8 @@ def pattern(fmt: str) -> str:
     out, i = "", 0
     while i < len(fmt):
         if fmt[i] == "%" and i + 1 < len(fmt):
+            if fmt[i + 1] != "%" and fmt[i + 1] not in LETTERS:
+                raise ValueError(f"%{fmt[i + 1]} is not known in a time format")
             out += "%" if fmt[i + 1] == "%" else LETTERS[fmt[i + 1]]
             i += 2
         else:
@@ -78,6 +84,25 @@ def strftime(ts: Column, fmt: str, tz: str = "UTC") -> Column:
 
 
 def strptime(s: Column, fmt: str, tz: str = "UTC") -> Column:
-    """The timestamp that a text in a time zone means, null where it doesn't fit."""
-    local = F.try_to_timestamp(s, F.lit(pattern(fmt))).cast("timestamp_ntz")
-    return F.convert_timezone(F.lit(tz), F.current_timezone(), local).cast("timestamp")
+    """The timestamp that a text in a time zone means, null where it doesn't fit; a format with %z says the zone itself. The
+    session's zone plays no part."""
+    if "%z" in fmt:
+        return F.try_to_timestamp(s, F.lit(pattern(fmt)))
+    return F.to_utc_timestamp(F.try_to_timestamp(F.concat(s, F.lit(" +00:00")), F.lit(pattern(fmt) + " XXX")), tz)
+
+
+def now() -> Column:
+    """The clock's time, one for the whole query."""
+    return F.current_timestamp()
+
+
+def hostname() -> Column:
+    import socket
+
+    return F.lit(socket.gethostname())
+
+
+def version() -> Column:
+    from eventloom import VERSION
+
+    return F.lit(VERSION)

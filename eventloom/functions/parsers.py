@@ -1,20 +1,36 @@
-"""Parsers of log formats. Each gives null where the text isn't in its format, so that a flow can send it to the dead letters."""
+"""Parsers of log formats. Each gives null where the text isn't in its format, so that a flow can send it to the dead letters.
+
+A text is cut once and looked at in place (`let`); patterns are possessive and anchored, so that long values neither recurse nor
+backtrack. `defaults` fills in what a text doesn't say: keys that are missing or null.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRI = r"^<(\d{1,3})>"
+REST = 1 << 30
+PRI = r"^<([0-9]{1,3})>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _from(s: Column, at: Column | int) -> Column:
+    """The text from a character on, the first being 1."""
+    return F.substring(s, at if isinstance(at, Column) else F.lit(at), F.lit(REST))
 
 
 def extract_pri(s: Column) -> Column:
-    pri = F.regexp_extract(s, PRI, 1).try_cast("int")
-    return F.when(pri <= 191, pri)
+    return let(F.regexp_extract(s, PRI, 1).try_cast("int"), lambda pri: F.when(pri <= 191, pri))
 
 
 def strip_pri(s: Column) -> Column:
-    return F.when(extract_pri(s).isNotNull(), F.regexp_replace(s, PRI, "")).otherwise(s)
+    return F.when(extract_pri(s).isNotNull(), _from(s, F.locate(">", s) + 1)).otherwise(s)
 
 
 def set_pri(s: Column, facility: Column, severity: Column) -> Column:
@@ -26,65 +42,136 @@ def _some(x: Column) -> Column:
     return F.when((x != "") & (x != "-"), x)
 
 
-#: version, timestamp, host, app, process, message id, structured data, message.
-NEW = r'(?s)^\d (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[(?:[^\]"\\]|\\.|"(?:[^"\\]|\\.)*")*\])+)(?: (.*))?$'
-#: The time runs to the third space.
-OLD = r"(?s)^([^ ]* [^ ]* [^ ]*) ([^ ]*) (.*)$"
-TAG = r"(?s)^([A-Za-z0-9_./-]{1,32})(?:\[([^\]]*)\])?: (.*)$"
+#: One element of structured data and the spaces behind it, where the one before ended; it may be unfinished.
+ELEMENT = r"(?s)\G\[[^\]\\]*+(?:\\.[^\]\\]*+)*+(?:\]|\\?\z)\x20*+"
+TAG = r"^[A-Za-z0-9]{1,32}(?:\[[^\]]*+\])?+:(?=\x20|\z)"
 FIELDS = ["timestamp", "hostname", "appname", "procid", "msgid", "msg"]
 
 
-def syslog_parse(s: Column) -> Column:
-    """pri, facility, severity and FIELDS of a line in the new or the old syslog format; null without a valid PRI."""
-    pri = extract_pri(s)
-    rest = F.regexp_replace(s, PRI, "")
-    new = [_some(F.regexp_extract(rest, NEW, i)) for i in range(1, 7)]
-    tail = F.regexp_extract(rest, OLD, 3)
-    tagged = tail.rlike(TAG)
-    tag = lambda i: F.when(tagged, F.nullif(F.regexp_extract(tail, TAG, i), F.lit("")))
-    old = [F.nullif(F.regexp_extract(rest, OLD, 1), F.lit("")), F.nullif(F.regexp_extract(rest, OLD, 2), F.lit("")), tag(1), tag(2), F.lit(None).cast("string"), F.when(tagged, F.regexp_extract(tail, TAG, 3)).otherwise(tail)]
-    is_new = rest.rlike(r"^\d ")
-    fields = [F.when(is_new, n).otherwise(o).alias(name) for name, n, o in zip(FIELDS, new, old, strict=True)]
-    return F.when(pri.isNotNull(), F.struct(pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(F.lit(7)).alias("severity"), *fields))
+def _new(p: Column) -> list[Column]:
+    """FIELDS of the new format; p: the text behind the PRI, cut at its first six spaces."""
+    rest = F.ltrim(F.coalesce(F.get(p, F.lit(6)), F.lit("")))
+    msg = F.when(F.startswith(rest, F.lit("[")), F.regexp_replace(rest, ELEMENT, "")).when(F.startswith(rest, F.lit("-")), F.ltrim(_from(rest, 2))).otherwise(rest)
+    return [*(_some(F.get(p, F.lit(i))) for i in range(1, 6)), F.nullif(msg, F.lit(""))]
+
+
+def _old(head: Column, tail: Column, timestamp: Column, host: Column) -> list[Column]:
+    """FIELDS of the old format; head: the tag up to its colon, or empty; tail: what follows the host."""
+    tagged = head != ""
+    app = F.substring_index(F.substring(head, F.lit(1), F.length(head) - 1), "[", 1)
+    pid = F.when(F.endswith(head, F.lit("]:")), F.substring(head, F.length(app) + 2, F.length(head) - F.length(app) - 3))
+    msg = F.when(tagged, _from(tail, F.length(head) + 2)).otherwise(tail)
+    return [_some(timestamp), _some(host), F.when(tagged, app), F.when(tagged, _some(pid)), F.lit(None).cast("string"), F.nullif(msg, F.lit(""))]
+
+
+def syslog_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column:
+    """pri, facility, severity and FIELDS of a line in the new or the old syslog format; null without a valid PRI. The old
+    format's time runs to the third space."""
+
+    def record(pri: Column, fields: list[Column]) -> Column:
+        fill = lambda name, x: F.coalesce(x, defaults[name].cast("string")) if defaults and name in defaults else x
+        return F.struct(pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(F.lit(7)).alias("severity"), *(fill(n, f).alias(n) for n, f in zip(FIELDS, fields, strict=True)))
+
+    def old(pri: Column, rest: Column, p: Column) -> Column:
+        timed = F.size(p) > 3
+        timestamp = F.when(timed, F.trim(F.concat_ws(" ", F.slice(p, 1, 3))))
+        body = F.ltrim(F.when(timed, F.get(p, F.lit(3))).otherwise(rest))
+        from_host = lambda b: let(F.substring_index(b, " ", 1), lambda host: let(F.ltrim(_from(b, F.length(host) + 2)), lambda tail: let(F.regexp_extract(tail, TAG, 0), lambda head: record(pri, _old(head, tail, timestamp, host)))))
+        return let(body, from_host)
+
+    def body(pri: Column, rest: Column) -> Column:
+        is_new = (F.substring(rest, 2, 1) == " ") & F.substring(rest, 1, 1).between("0", "9")
+        return F.when(is_new, let(F.split(rest, " ", 7), lambda p: record(pri, _new(p)))).otherwise(let(F.split(rest, " ", 4), lambda p: old(pri, rest, p)))
+
+    digits = F.regexp_extract(s, PRI, 1)
+    return let(digits, lambda d: F.when(d != "", let(d.try_cast("int"), lambda pri: F.when(pri <= 191, body(pri, _from(s, F.length(d) + 3))))))
 
 
-def first_wins(keys: Column, values: Column) -> Column:
-    """A map from parallel arrays; of equal keys the first counts."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+def first_wins(entries: Column) -> Column:
+    """A map from an array of structs (k, v); of equal keys the first counts. Work grows with n log n."""
 
+    def distinct(e: Column) -> Column:
+        order = F.array_sort(F.transform(e, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+        first = lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["k"] != x["k"]))
+        return F.transform(let(order, first), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
 
-def parse_kv(s: Column, sep: str = " ") -> Column:
-    """key=value tokens as a map; values in double quotes may hold the separator, and aren't unescaped."""
-    c = "\\" + sep if not sep.isalnum() else sep
-    pattern = rf'(?<![^{c}])([^{c}="]+)=(?:"((?:[^"\\]|\\.)*)"|([^{c}]*))'
-    part = lambda i: F.regexp_extract_all(s, F.lit(pattern), F.lit(i))
-    value = F.zip_with(part(2), part(3), lambda q, p: F.when(q != "", q).otherwise(p))
-    return F.when(s.isNotNull(), first_wins(part(1), F.transform(value, lambda v: F.when(v == '""', "").otherwise(v))))
+    keys = lambda e: F.transform(e, lambda x: x["k"])
+    return let(entries, lambda e: F.map_from_entries(F.when(F.size(F.array_distinct(keys(e))) == F.size(e), e).otherwise(distinct(e))))
+
+
+def _filled(found: Column, defaults: dict[str, Column] | None) -> Column:
+    if not defaults:
+        return found
+    rest = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), v.cast("string"))])
+    return let(found, lambda m: F.when(m.isNotNull(), F.map_concat(m, F.map_filter(rest, lambda k, v: ~F.map_contains_key(m, k)))))
+
+
+def parse_kv(s: Column, sep: str = " ", defaults: dict[str, Column] | None = None) -> Column:
+    """key=value tokens as a map; values in double quotes may hold the separator, and aren't unescaped; one without its closing
+    quote runs to the end. Tokens without = or key are passed over."""
+    if len(sep) != 1 or not sep.isascii():
+        raise ValueError("the separator must be one ASCII character")
+    c = rf"\x{ord(sep):02x}"
+    body = r'[^"\\]*+(?:\\.[^"\\]*+)*+\\?+'
+    # A key starts behind a separator, or where the token before ended.
+    quoted = rf'(?s)(?:\G|(?<={c}))[^={c}]*+=(?:"{body}(?:"|\z)|[^{c}]*+)'
+    tokens = F.when(F.contains(s, F.lit('"')), F.regexp_extract_all(s, F.lit(quoted), F.lit(0))).otherwise(F.split(s, c))
+
+    def pair(t: Column) -> Column:
+        def split(k: Column) -> Column:
+            v = _from(t, F.length(k) + 2)
+            return F.struct(k.alias("k"), F.when(F.startswith(v, F.lit('"')), F.regexp_replace(v, rf'(?s)^"({body})(?:"|\z).*$', "$1")).otherwise(v).alias("v"))
+
+        return let(F.substring_index(t, "=", 1), split)
+
+    some = F.filter(tokens, lambda t: F.locate("=", t) > 1)
+    return _filled(F.when(s.isNotNull(), first_wins(F.transform(some, pair))), defaults)
 
 
 def csv_parse(s: Column, names: list[str]) -> Column:
     """One record as a struct: empty or missing fields are null, further ones are left out; an empty name skips a field."""
     full = [n or f"_skip{i}" for i, n in enumerate(names)]
     row = F.from_csv(s, ", ".join(f"`{n}` string" for n in full), {"mode": "PERMISSIVE", "nullValue": "", "escape": '"'})
-    return F.when(s.isNotNull(), F.struct(*[F.nullif(row[n], F.lit("")).alias(n) for n in full if not n.startswith("_skip")]))
+    return F.when(s.isNotNull(), let(row, lambda r: F.struct(*[F.nullif(r[n], F.lit("")).alias(n) for n in full if not n.startswith("_skip")])))
 
 
 CEF_HEADER = ["version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity"]
-CEF_PAIR = r"(?:^| )([A-Za-z0-9_.]+)=(.*?)(?= [A-Za-z0-9_.]+=|$)"
 
 
-def cef_parse(s: Column) -> Column:
-    """The header's seven parts, and the extensions as a map; a value runs to the next key. Nothing is unescaped."""
-    at = F.regexp_extract(s, r"(?s)CEF:.*$", 0)
-    part = F.split(F.substring(at, 5, 1 << 30), r"\|", 8)
-    header = [F.get(part, F.lit(i)).alias(n) for i, n in enumerate(CEF_HEADER)]
-    tail = F.trim(F.coalesce(F.get(part, F.lit(7)), F.lit("")))
-    group = lambda i: F.regexp_extract_all(tail, F.lit(CEF_PAIR), F.lit(i))
-    extensions = first_wins(group(1), F.transform(group(2), lambda v: F.trim(v)))
-    return F.when((at != "") & (F.size(part) >= 7), F.struct(*header, extensions.alias("extensions")))
+def cef_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column:
+    """The header's seven parts, severity as a number too (severity_id, null where it is none), and the extensions as a map; a
+    value runs to the next key behind a space. The text starts with CEF:, so a syslog header goes before. Nothing is unescaped."""
+    first = r"(?s)(?<![A-Za-z0-9_])[A-Za-z0-9_]++=.*+$"
+    pair = lambda t: let(F.substring_index(t, "=", 1), lambda k: F.struct(k.alias("k"), F.trim(_from(t, F.length(k) + 2)).alias("v")))
+
+    def record(p: Column) -> Column:
+        number = F.when(F.get(p, F.lit(6)).rlike(r"^[+-]?[0-9]+$"), F.get(p, F.lit(6)).try_cast("long"))
+        header = [F.get(p, F.lit(i)).alias(n) for i, n in enumerate(CEF_HEADER[:-1])]
+        tail = F.regexp_extract(F.get(p, F.lit(7)), first, 0)
+        tokens = F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, r"\x20(?=[A-Za-z0-9_]++=)"))
+        return F.struct(*header, F.coalesce(number.cast("string"), F.get(p, F.lit(6))).alias("severity"), number.alias("severity_id"), _filled(first_wins(F.transform(tokens, pair)), defaults).alias("extensions"))
+
+    return F.when(F.startswith(s, F.lit("CEF:")), let(F.split(_from(s, 5), r"\|", 8), lambda p: F.when(F.size(p) == 8, record(p))))
+
+
+#: A key that starts with $ where JSON has one: reserved, but for doubled ones and the form of bytes.
+RESERVED = r'[{,]\s*+"\$(?!\$|bytes_b64"\s*+:)[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:'
+
+
+def parse_json(s: Column, schema: str, defaults: dict[str, Column] | None = None) -> Column:
+    """A struct by schema; other JSON than an object is its field _json, as text, if the schema has it. Null where the text is no
+    JSON or has a reserved key."""
+    import re
+
+    names = re.findall(r"(?:^|,)\s*`?(\w+)`?[ :]", re.sub(r"[<(][^<>()]*[>)]", "", re.sub(r"<[^<>]*>", "", schema)))
+    value = F.from_json(s, schema)
+    whole = F.when(F.json_object_keys(s).isNull(), F.trim(s))
 
+    def field(v: Column, n: str) -> Column:
+        x = F.coalesce(whole, v[n]) if n == "_json" else v[n]
+        return (F.coalesce(x, defaults[n]) if defaults and n in defaults else x).alias(n)
 
-def parse_json(s: Column, schema: str) -> Column:
-    """A struct by schema; null where the text is no JSON object."""
-    return F.when(F.json_object_keys(s).isNotNull(), F.from_json(s, schema))
+    rich = bool(defaults) or "_json" in names
+    valid = F.json_object_keys(s).isNotNull() if "_json" not in names else F.try_parse_json(s).isNotNull()
+    found = let(value, lambda v: F.struct(*[field(v, n) for n in names])) if rich else value
+    return F.when(valid & ~F.coalesce(s.rlike(RESERVED), F.lit(False)), found)

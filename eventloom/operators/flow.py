@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 OUTCOME, REASON, STEP, OUTPUTS = "_outcome", "_reason", "_step", "_outputs"
 SHIPMENT = "array<struct<output:string,payload:string>>"
+#: Texts of the dead letters' contract. Fixed values.
+ERROR, PIPELINE, FAILED = "explicit error routing", "(pipeline)", "process failed: "
 
 
 class Flow:
     def __init__(self, events: DataFrame, name: str = "flow"):
-        self.name, self.inputs = name, events.columns
+        self.name, self.inputs, self.only = name, events.columns, None
         none = F.lit(None).cast("string")
         self.df = events.withColumns({OUTCOME: none, REASON: none, STEP: none, OUTPUTS: F.array().cast(SHIPMENT)})
 
     def _with(self, df: DataFrame) -> Flow:
         new = object.__new__(Flow)
-        new.name, new.inputs, new.df = self.name, self.inputs, df
+        new.name, new.inputs, new.df, new.only = self.name, self.inputs, df, self.only
         return new
 
     @property
     def running(self) -> Column:
-        return F.col(OUTCOME).isNull()
+        return F.col(OUTCOME).isNull() if self.only is None else F.col(OUTCOME).isNull() & self.only
 
     def set(self, **columns: Column) -> Flow:
         """Columns for events that run; other events keep what they have."""
@@ -43,19 +45,52 @@ class Flow:
     def finish_if(self, when: Column) -> Flow:
         return self._end("finished", when, F.lit(None).cast("string"), "finish")
 
-    def error_if(self, when: Column, reason: str = "explicit error routing", step: str = "(pipeline)") -> Flow:
-        return self._end("errored", when, F.lit(reason), step)
+    def error_if(self, when: Column, reason: str | Column = ERROR, step: str = PIPELINE) -> Flow:
+        return self._end("errored", when, reason if isinstance(reason, Column) else F.lit(reason), step)
 
     def parse(self, step: str, name: str, value: Column, reason: str) -> Flow:
         """A parsed column; events that it is null for go to the dead letters."""
-        return self.set(**{name: value}).error_if(F.col(name).isNull(), f"process failed: {reason}", step)
+        return self.set(**{name: value}).error_if(F.col(name).isNull(), FAILED + reason, step)
 
     def recover(self, step: str, **columns: Column) -> Flow:
         """Events that failed in a step run on with these columns."""
         failed = (F.col(OUTCOME) == "errored") & (F.col(STEP) == step)
-        df = self.df.withColumns({k: F.when(failed, v).otherwise(F.col(k)) for k, v in columns.items()})
-        clear = lambda c: F.when(failed, F.lit(None).cast("string")).otherwise(F.col(c))
-        return self._with(df.withColumn("_was", failed).withColumns({REASON: clear(REASON), OUTCOME: F.when(F.col("_was"), F.lit(None).cast("string")).otherwise(F.col(OUTCOME))}).drop("_was"))
+        df = self.df.withColumn("_was", F.coalesce(failed, F.lit(False)))
+        put = lambda c, v: F.when(F.col("_was"), v).otherwise(F.col(c)) if c in df.columns else F.when(F.col("_was"), v)
+        none = F.lit(None).cast("string")
+        return self._with(df.withColumns({k: put(k, v) for k, v in columns.items()} | {c: put(c, none) for c in (REASON, OUTCOME, STEP)}).drop("_was"))
+
+    def attempt(self, body, catch=None) -> Flow:
+        """body (a flow to a flow) for events that run; those that fail in it get back the columns that they had before, and the
+        reason as _error while `catch` runs for them. Drops and finishes in either stay; payloads taken by body before it failed
+        don't ship."""
+        before = [c for c in self.df.columns if not c.startswith("_try_")]
+        level = sum(c.startswith("_try_") for c in self.df.columns)
+        kept = f"_try_{level}"
+        tried = body(self._with(self.df.withColumn(kept, F.struct(self.running.alias("_ran"), *before)))).df
+        failed = F.col(kept)["_ran"] & F.coalesce(F.col(OUTCOME) == "errored", F.lit(False))
+        tried = tried.withColumn("_failed", failed).withColumn("_error", F.when(F.col("_failed"), F.col(REASON)))
+        names = [c for c in tried.columns if c not in ("_failed", "_error") and not c.startswith("_try_")]
+        back = tried.withColumns({c: F.when(F.col("_failed"), F.col(kept)[c] if c in before else F.lit(None)).otherwise(F.col(c)) for c in names})
+        caught = self._with(back)
+        if catch is not None:
+            caught.only = F.col("_failed") if self.only is None else self.only & F.col("_failed")
+            caught = catch(caught)
+        out = self._with(caught.df.drop("_failed", "_error", kept))
+        out.only = self.only
+        return out
+
+    def merge(self, record: Column, names: list[str]) -> Flow:
+        """A struct's fields as columns; a null one changes nothing."""
+        there = lambda n: F.when(record.isNotNull(), record[n])
+        return self.set(**{n: there(n).otherwise(F.col(n)) if n in self.df.columns else there(n) for n in names})
+
+    def each(self, array: Column, start: Column, step, **columns) -> Flow:
+        """A loop over an array: step(state, item) from `start` on; columns take what their functions make of the last state.
+        Where there is no array, nothing changes."""
+        last = F.aggregate(array, start, step)
+        put = lambda n, v: F.when(array.isNotNull(), v).otherwise(F.col(n)) if n in self.df.columns else F.when(array.isNotNull(), v)
+        return self.set(**{n: put(n, make(last)) for n, make in columns.items()})
 
     def output(self, name: str, payload: Column, when: Column | None = None) -> Flow:
         """Takes a payload for an output; the event runs on."""
@@ -80,8 +115,9 @@ class Flow:
         return self.df.select(*keep, F.explode(OUTPUTS).alias("_x")).select(*keep, "_x.output", "_x.payload")
 
     def dead_letters(self) -> DataFrame:
-        """reason, process, pipeline and the event as it came."""
-        event = F.to_json(F.struct(*self.inputs))
+        """reason, process, pipeline and the event as it came: received_at, source and ingress, where the events have these."""
+        envelope = [c for c in ("received_at", "source", "ingress") if c in self.inputs]
+        event = F.to_json(F.struct(*(envelope if "ingress" in envelope else self.inputs)))
         return self.df.where(F.col(OUTCOME) == "errored").select(F.col(REASON).alias("reason"), F.col(STEP).alias("process"), F.lit(self.name).alias("pipeline"), event.alias("event"))
 
     def counters(self) -> DataFrame:

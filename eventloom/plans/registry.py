@@ -77,22 +77,22 @@ def _pri():
     return F.pmod("event_id", F.lit(192)).cast("int")
 
 
-@query("""SELECT event_id, (event_id % 192)::INT AS pri, (event_id % 192 // 8)::INT AS facility, (event_id % 8)::INT AS severity, 'Jan 15 10:30:00' AS timestamp, 'host' || (user_id % 5) AS hostname,
+@query("""SELECT event_id, (event_id % 192)::INT AS pri, (event_id % 192 // 8)::INT AS facility, (event_id % 8)::INT AS severity, 'Feb 21 04:05:06' AS timestamp, 'host' || (user_id % 5) AS hostname,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'app' END AS appname, CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END AS procid, CASE WHEN event_id % 3 = 0 THEN 'plain ' ELSE '' END || event_type AS msg FROM events""")
 def syslog_old(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     tag = F.when(F.col("event_id") % 3 == 0, "plain ").when(F.col("event_id") % 3 == 1, _str("app[", F.col("user_id").cast("string"), "]: ")).otherwise("app: ")
-    line = _str("<", _pri().cast("string"), ">Jan 15 10:30:00 host", (F.col("user_id") % 5).cast("string"), " ", tag, F.col("event_type"))
+    line = _str("<", _pri().cast("string"), ">Feb 21 04:05:06 host", (F.col("user_id") % 5).cast("string"), " ", tag, F.col("event_type"))
     return e.select("event_id", parsers.syslog_parse(line).alias("s")).select("event_id", *[f"s.{c}" for c in ("pri", "facility", "severity", "timestamp", "hostname", "appname", "procid", "msg")])
 
 
-@query("""SELECT event_id, (event_id % 192)::INT AS pri, '2026-04-15T10:30:00Z' AS timestamp, 'h' || (user_id % 5) AS hostname, event_type AS appname, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS procid,
+@query("""SELECT event_id, (event_id % 192)::INT AS pri, '2027-02-21T04:05:06Z' AS timestamp, 'h' || (user_id % 5) AS hostname, event_type AS appname, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS procid,
   'id' || (event_id % 7) AS msgid, 'value ' || (event_id * 3) AS msg FROM events""")
 def syslog_new(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     proc = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("-")
     data = F.when(F.col("event_id") % 4 == 0, r'[x@1 a="b \] c"][y k="v"]').otherwise("-")
-    line = _str("<", _pri().cast("string"), ">1 2026-04-15T10:30:00Z h", (F.col("user_id") % 5).cast("string"), " ", F.col("event_type"), " ", proc, " id", (F.col("event_id") % 7).cast("string"), " ", data, " value ", (F.col("event_id") * 3).cast("string"))
+    line = _str("<", _pri().cast("string"), ">1 2027-02-21T04:05:06Z h", (F.col("user_id") % 5).cast("string"), " ", F.col("event_type"), " ", proc, " id", (F.col("event_id") % 7).cast("string"), " ", data, " value ", (F.col("event_id") * 3).cast("string"))
     return e.select("event_id", parsers.syslog_parse(line).alias("s")).select("event_id", *[f"s.{c}" for c in ("pri", "timestamp", "hostname", "appname", "procid", "msgid", "msg")])
 
 
@@ -102,10 +102,10 @@ def syslog_priority(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", parsers.extract_pri(line).alias("pri"), parsers.strip_pri(line).alias("bare"), parsers.set_pri(line, F.lit(20), F.lit(5)).alias("again"))
 
 
-@query("SELECT event_id, 'Vendor' AS vendor, event_type AS name, (event_id % 10)::VARCHAR AS severity, user_id::VARCHAR AS suser, 'a b ' || event_id AS msg FROM events")
+@query("SELECT event_id, 'Acme' AS vendor, event_type AS name, (event_id % 10)::VARCHAR AS severity, user_id::VARCHAR AS suser, 'a b ' || event_id AS msg FROM events")
 def cef(spark, sf_dir):
-    line = _str("<134>Apr 15 10:30:00 h CEF:0|Vendor|Box|7.0|13|", F.col("event_type"), "|", (F.col("event_id") % 10).cast("string"), "|suser=", F.col("user_id").cast("string"), " msg=a b ", F.col("event_id").cast("string"), " suser=later")
-    c = read(spark, sf_dir, "events").select("event_id", parsers.cef_parse(line).alias("c"))
+    line = _str("<29>Feb 21 04:05:06 gate CEF:0|Acme|Sensor|2|77|", F.col("event_type"), "|", (F.col("event_id") % 10).cast("string"), "|suser=", F.col("user_id").cast("string"), " msg=a b ", F.col("event_id").cast("string"), " suser=later")
+    c = read(spark, sf_dir, "events").select("event_id", parsers.cef_parse(parsers.syslog_parse(line)["msg"]).alias("c"))
     return c.select("event_id", F.col("c.device_vendor").alias("vendor"), "c.name", "c.severity", F.col("c.extensions")["suser"].alias("suser"), F.col("c.extensions")["msg"].alias("msg"))
 
 
@@ -221,3 +221,6 @@ def normalised(spark, sf_dir):
     user = F.struct(F.struct(F.col("user_id").cast("string").alias("uid")).alias("user"))
     body = F.struct(c.alias("class_uid"), F.floor(c / 1000).alias("category_uid"), a.alias("activity_id"), (c * 100 + a).alias("type_uid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), user.alias("actor"))
     return read(spark, sf_dir, "events").select("event_id", convert.null_omit_json(body).alias("event"))
+
+
+from eventloom.plans import products  # noqa: E402, F401  registers more queries

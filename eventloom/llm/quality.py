@@ -7,7 +7,7 @@ repeat. Both are limited. The array is built for a block of texts at once by pre
 meet another's, as its number is part of its first rank.
 
 Results for special cases: a null or empty text has no words, counts of 0 and fails the base rules; very long texts are whole
-(memory in proportion to the text); repeated rows are judged alike, row by row; an empty table gives an empty result; null
+(memory in proportion to the text: ranks of 32 bits for each doubling up to its longest repeat); ties don't arise; repeated rows are judged alike, row by row; an empty table gives an empty result; null
 identifiers are passed on; other columns are passed over by `quality` and kept by `keep_good`.
 """
 
@@ -45,21 +45,21 @@ def longest_repeats(codes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     end = np.append(np.flatnonzero(np.diff(text_of)) + 1, n)
     room = np.repeat(end, np.diff(end, prepend=0)) - np.arange(n)  # words from here to the text's end
     _, rank, count = np.unique(text_of * (int(codes.max()) + 1) + codes, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - count)[rank]  # a rank is the place in the array where its group of equal prefixes starts
+    rank = (np.cumsum(count) - count)[rank].astype(np.int32)  # a rank is the place in the array where its group of equal prefixes starts
     ranks, h, active = [rank], 1, np.arange(n)
     while True:
         # A suffix whose rank no other has is in its place; only the others are refined.
         active = active[np.bincount(rank, minlength=n)[rank[active]] > 1]
         if not len(active):
             break
-        after = np.where(room[active] > h, rank[np.minimum(active + h, n - 1)] + 1, 0)
+        after = np.where(room[active] > h, rank[np.minimum(active + h, n - 1)].astype(np.int64) + 1, 0)
         key = rank[active] * np.int64(n + 1) + after
         order = np.argsort(key, kind="stable")
         key, old, place = key[order], rank[active][order], np.arange(len(active))
         head = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
         group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), place, 0))
         rank = rank.copy()
-        rank[active[order]] = old + head - group
+        rank[active[order]] = (old + head - group).astype(np.int32)
         ranks.append(rank)
         h *= 2
     suffix = np.argsort(rank)

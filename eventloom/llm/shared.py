@@ -60,6 +60,11 @@ def same(left, right):
     return left.eqNullSafe(right)
 
 
+def let(value: F.Column, use) -> F.Column:
+    """use(value), with the value worked out once however often it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -156,7 +156,9 @@ def test_secrets_link_behind_long_parts(spark, texts, tmp_path):
     url = "https://db.example/x?" + "q" * 300
     docs = {1: f"token={jwt} user=bob", 2: f"token={jwt} https://db.example/x {access}", 3: f"{url} {access} token=abcdefgh1", 4: f"token={jwt} " + "x " * 101 + "user=bob", 5: "user=bob" + " " * 200 + "token=abcdefgh1", 6: "user=bob" + " " * 201 + "token=abcdefgh1", 7: f"token={jwt}" + " " * 200 + "user=bob", 8: f"{access} {url} {blob}", 9: f"{access} token=abcdefgh1" + " " * 170 + url + " x"}
     spark.createDataFrame(list((docs | {100 + i: t for i, t in texts.items()}).items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["spans"] for r in queries.op2_secrets(spark, str(tmp_path)).collect()}
+    rows = queries.op2_secrets(spark, str(tmp_path)).collect()
+    got, links = {r["doc_id"]: r["spans"] for r in rows}, {r["doc_id"]: r["links"] for r in rows}
+    assert links[1] == f"user:{len(jwt) + 7}:{len(jwt) + 15}>assign:0:{len(jwt) + 6}"
     kinds = {i: [s.split(":")[0] for s in got[i].split(",") if s] for i in docs}
     assert kinds == {1: ["assign", "user"], 2: ["assign", "endpoint", "access"], 3: ["endpoint", "access", "assign"], 4: ["assign"], 5: ["user", "assign"], 6: ["assign"], 7: ["assign", "user"], 8: ["access", "endpoint"], 9: ["access", "assign", "endpoint"]}
     for i, t in docs.items() | {100 + i: t or "" for i, t in texts.items()}.items():
@@ -166,6 +168,31 @@ def test_secrets_link_behind_long_parts(spark, texts, tmp_path):
         near = lambda w, role: any(secrets.ROLE[secrets.KINDS[k]] == role and max(a - w[2], w[0] - b) <= 200 for a, k, b in base + weak)
         spans = sorted(base + [w for w in weak if all(near(w, r) for r in secrets.NEEDS[secrets.KINDS[w[1]]])])
         assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        # Each reported weak part has a partner of each role that it needs, and the partner is near.
+        found = Counter()
+        for link in filter(None, links[i].split(",")):
+            (kind, a, b), (kind2, a2, b2) = (x.split(":") for x in link.split(">"))
+            assert max(int(a2) - int(b), int(a) - int(b2)) <= 200 and (int(a2), secrets.KINDS.index(kind2), int(b2)) in base + weak
+            found[int(a), secrets.KINDS.index(kind), int(b), secrets.ROLE[kind2]] += 1
+        assert found == Counter((a, k, b, r) for a, k, b in spans if k >= 3 for r in secrets.NEEDS[secrets.KINDS[k]])
+
+
+def test_secrets_odd(spark, odd):
+    """Nulls, empty and repeated texts, null identifiers, clashing columns, no rows, and very many matches in one text."""
+    import time
+
+    assert Counter(r["doc_id"] for r in secrets.scan(odd, gaps=True).collect()) == Counter(r[0] for r in ROWS)
+    assert secrets.scan(odd.limit(0)).count() == 0
+    rows = [(1, "user=bob token=abcdefgh1"), (1, "user=bob token=abcdefgh1"), (None, "user=bob token=abcdefgh1"), (None, None), (2, "user=bob")]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, _h int, base string, _id string")
+    both = "user:0:8,assign:9:24"
+    assert Counter((r["doc_id"], r["spans"], r["n_linked"]) for r in secrets.scan(docs, gaps=True).collect()) == Counter({(1, both, 1): 2, (None, both, 1): 1, (None, "", 0): 1, (2, "", 0): 1})
+    n, began = 60_000, time.time()
+    many = " ".join(f"token=abcdefg{i:06d} user=u{i}" for i in range(n // 2))
+    r = secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string"), gaps=True).first()
+    assert (r["n_assign"], r["n_linked"]) == (n // 2, n // 2)
+    assert hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in base_spans(many)).encode()).hexdigest() == r["base_sha256"]
+    assert time.time() - began < 60
 
 
 def test_pitman_yor(spark, texts):

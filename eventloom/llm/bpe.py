@@ -38,7 +38,8 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of a byte-level BPE file. Tokens are numbered inside by rank: bytes 0 to 255, then merges."""
 
-    PIECES, PAIRS = 100_000, 300_000
+    #: What is kept: pieces of so many characters at most, so that the memory is bounded too.
+    PIECES, PAIRS, LONGEST = 100_000, 300_000, 64
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -119,7 +120,9 @@ class Codec:
         if len(self.pieces) >= self.PIECES:
             self.pieces.clear()
         ids = [self.ids[t] for t in self.tokens(piece.encode())]
-        self.pieces[piece] = out = (",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.by_id.__getitem__, ids)))
+        out = (",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.by_id.__getitem__, ids)))
+        if len(piece) <= self.LONGEST:
+            self.pieces[piece] = out
         return out
 
     def encoded(self, text: str) -> list[tuple[bytes, int, bytes]]:

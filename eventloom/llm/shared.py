@@ -71,11 +71,13 @@ def word_count(text) -> F.Column:
 
 
 class WordHash(dict):
-    """64-bit hash of each word, kept for words seen lately; bounded, so that a task's memory is."""
+    """64-bit hash of each word, kept for words seen lately; bounded in number and length, so that a task's memory is."""
 
-    LIMIT = 150_000
+    LIMIT, LONGEST = 150_000, 64
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.LONGEST:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)

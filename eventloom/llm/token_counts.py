@@ -2,9 +2,10 @@
 
 Totals by source, language and tokenizer version are the sum of committed batches of signed deltas: an insert adds a document's
 tokens, a delete takes them away, a revised count takes the old away and adds the new. Each batch is aggregated before it is
-written (one small table for each batch, under its identifier). A batch is committed once its table is complete (_SUCCESS);
-committing an identifier again changes nothing, and what a failed attempt left is overwritten. `compact` folds committed
-batches into a snapshot that remembers their identifiers, so they stay committed.
+written (one small table for each batch). A batch is written beside the store and committed by one rename to its identifier, so
+of several senders of one batch one wins and the others change nothing; what failed attempts left is never read. `compact` folds
+committed batches into a snapshot that remembers their identifiers, so they stay committed; batches that the snapshot before had
+folded already are removed then, as no reader looks at them any more.
 
 Results for special cases: null source, language or version is a group of its own; a null text has 0 tokens and counts as a
 document; repeated rows count each time; a group whose documents are all deleted leaves the totals; an empty batch commits and
@@ -74,8 +75,23 @@ class Rollup:
         """Whether the batch was new."""
         if batch in self.committed():
             return False
-        summed(deltas).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        return True
+        work = f"{self.folder}/.work-{uuid.uuid4().hex}"
+        summed(deltas).write.parquet(work)
+        return self._renamed(work, f"{self.folder}/batch={batch}")
+
+    def _renamed(self, work: str, to: str) -> bool:
+        """Whether `work` became `to`. If another has that name, a file system refuses, or puts `work` inside, where its hidden
+        name keeps it from being read."""
+        at = self._path(to)
+        if self._fs.exists(at) and not self._fs.exists(self._path(at, "_SUCCESS")):
+            self._fs.delete(at, True)  # what an attempt without a rename left
+        done = not self._fs.exists(at) and self._fs.rename(self._path(work), at)
+        inside = self._path(at, self._path(work).getName())
+        if done and not self._fs.exists(inside):
+            return True
+        for p in (inside, self._path(work)):
+            self._fs.delete(p, True)
+        return False
 
     def totals(self) -> DataFrame:
         """KEYS, docs, tokens of the groups that have documents or tokens."""
@@ -87,16 +103,21 @@ class Rollup:
         return summed(tables).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into a new snapshot. Batches committed meanwhile are not in it and stay as they are."""
+        """Folds all committed batches into a new snapshot. Batches committed meanwhile are not in it and stay as they are; of two
+        compactions at once both snapshots are right, and the one of the later name counts."""
         done = self._complete()
         old, folded = self._snapshot()
         batches = {n[6:] for n in done if n.startswith("batch=")}
-        name = f"snapshot={len([n for n in done if n.startswith('snapshot=')]) + 1:09d}"
+        number = 1 + max((int(n[9:18]) for n in done if n.startswith("snapshot=")), default=0)
         work = f"{self.folder}/.work-{uuid.uuid4().hex}"
         paths = [done[n] for n in done if n == old or n.startswith("batch=") and n[6:] not in folded]
         tables = self.spark.read.schema(TABLE).parquet(*paths) if paths else self.spark.createDataFrame([], TABLE)
-        summed(tables).write.parquet(work)
+        summed(tables).coalesce(1).write.parquet(work)
         out = self._fs.create(self._path(f"{work}/_batches"))
         out.write(bytearray(json.dumps(sorted(folded | batches)).encode()))
         out.close()
-        self._fs.rename(self._path(work), self._path(f"{self.folder}/{name}"))
+        if not self._renamed(work, f"{self.folder}/snapshot={number:09d}-{uuid.uuid4().hex}"):
+            raise OSError(f"the snapshot of {self.folder} could not be renamed")
+        gone = [n for n in done if n.startswith("batch=") and n[6:] in folded or n.startswith("snapshot=") and old and n < old]
+        for n in gone:
+            self._fs.delete(self._path(done[n]), True)

@@ -42,7 +42,8 @@ class WordIds(dict):
     The tokenizer drops white space and no rule of it reaches over it, so a text's ids are its words' ids one after another."""
 
     #: Words in each of two generations: the older one goes when the younger is full, so that frequent words stay.
-    LIMIT = 250_000
+    #: What is kept: so many words; those of more bytes than LONGEST only while their texts are encoded.
+    LIMIT, LONGEST = 250_000, 64
     #: Marks that end a word and are cut off behind a letter or digit.
     MARKS = b".,;:!?$#*%&()\""
 
@@ -54,6 +55,7 @@ class WordIds(dict):
         self.model = Tokenizer.from_file(path)
         self.model.no_padding(), self.model.no_truncation()
         self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
 
     def pieces(self, text: str) -> list[bytes]:
@@ -84,6 +86,7 @@ class WordIds(dict):
             else:
                 self[w] = ids
         size = self.dtype.itemsize
+        self.long += [w for w in unknown if len(w) > self.LONGEST]
         for i in range(0, len(unknown), 2000):
             part = unknown[i : i + 2000]
             e = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -98,6 +101,9 @@ class WordIds(dict):
             self.learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
+            for w in self.long:
+                self.pop(w, None)
+            self.long = []
 
 
 @lru_cache(2)

@@ -618,6 +618,70 @@ def test_quality_odd(odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == [6, 7]
 
 
+def test_empty_tables(spark, odd):
+    """No rows in, no rows out, with the same columns."""
+    none = odd.limit(0)
+    for got in (jaccard_join.near_duplicates(none, 3, 90, 100), jaccard_join.keep_one(none), bpe.encode(none, queries.BYTE_BPE), quality.quality(none), quality.keep_good(none), *jaccard_join.linked(none, 3, 90, 100)):
+        assert got.count() == 0
+
+
+def test_jaccard_frequent_passage(spark, monkeypatch):
+    """A passage that is in every prefix of unlinked documents, small blocks and ranges, sets common inside a block: all exact."""
+    import random
+
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    docs = {}
+    for i in range(120):
+        own = [f"o{i}_{j}" for j in range(rng.choice([3, 8, 30]))]
+        docs[i] = " ".join(passage + own if i % 3 else own + passage[:40])
+    for i in range(120, 160):  # from a few passages only: nothing in them is rare
+        docs[i] = " ".join(w for n in rng.sample(range(8), 3) for w in (f"q{n}_{j}" for j in range(30)))
+    docs |= {200 + i: docs[i] for i in range(0, 160, 5)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 2000)
+            monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 7)
+            monkeypatch.setattr(jaccard_join, "COMMON", 3)
+        for k, num in ((3, 90), (5, 80)):
+            got = jaccard_join.near_duplicates(df, k, num, 100).collect()
+            assert {r["doc_id"]: tuple(r) for r in got} == link_components(docs, k, num, 100)
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Nulls, empty, long and repeated texts, clashing columns; no rows at all."""
+    import corpus_pipeline as p
+
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/a").collect()
+    # The rules keep the two long texts, which are near copies; the first stays and the mix takes it whole.
+    assert {r["doc_id"] for r in got} == {6}
+    odd.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert p.run(spark, f"{tmp_path}/b").count() == 0
+    rows = [(1, " ".join(f"a{i}" for i in range(50))), (1, " ".join(f"b{i}" for i in range(50))), (2, " ".join(f"c{i}" for i in range(50)))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/c/documents.parquet")
+    assert Counter(r["doc_id"] for r in p.run(spark, f"{tmp_path}/c").collect()) == {1: 2, 2: 1}
+
+
+def test_token_counts_races(spark, tmp_path):
+    """Two senders of a batch: one wins; attempts that failed are never read; folded batches go at the next fold."""
+    docs = spark.createDataFrame([("a", "en", 3)], "source string, lang string, n long")
+    one, two = (token_counts.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    deltas = token_counts.inserts(docs, F.col("n"), "v1")
+    (tmp_path / "r/.work-x").mkdir(parents=True)
+    two.committed = set  # it looked before the other was done
+    assert [one.commit("1", deltas), two.commit("1", deltas)] == [True, False]
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v1", 1, 3)]
+    one.compact()
+    assert one.commit("2", deltas)
+    one.compact()
+    one.compact()
+    assert sorted(n.name.split("-")[0] for n in (tmp_path / "r").iterdir() if n.name[0] != ".") == ["snapshot=000000002", "snapshot=000000003"]
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v1", 2, 6)]
+    assert one.committed() == {"1", "2"} and not one.commit("2", deltas)
+
+
 def test_pipeline_brute_force(spark, texts, tmp_path):
     import corpus_pipeline as p
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import pack, pack_up, unpack, unpack_up
-from .shared import WordHash, forget, saved, text_bytes
+from .shared import WordHash, dealt, forget, saved, text_bytes
 
 BLOCK_TOKENS = 2_000_000
 #: Bytes of text for each part of the restaurants and each range of words.
@@ -344,7 +344,7 @@ def trained(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     kind = dict(rows.dtypes)["id"]
     parts = 1 + text_bytes(rows) // PART_BYTES
     id_type = pa.schema(rows.select("id").limit(0).toArrow().schema).field(0).type
-    opened = blocks(rows, parts).groupBy("key").applyInArrow(_opened(parts, id_type), f"{KINDS}, ids array<{kind}>, sizes binary, held binary, entries binary")
+    opened = dealt(blocks(rows, parts), parts, "key").groupBy("key").applyInArrow(_opened(parts, id_type), f"{KINDS}, ids array<{kind}>, sizes binary, held binary, entries binary")
     table = saved(opened, "opened", by="kind")
     of = lambda kind: table.where(F.col("kind") == kind)
     state = of("state").select("kind", "part", "a", "b", "stats")
@@ -352,17 +352,17 @@ def trained(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     world = {"N": n, "d1": discount(one, two), "number": 0}
     tables, sent, swept = of("tables").select("kind", "part", "a"), of("words").select("part", "range", "a", "b", "c"), None
     for number in range(ROUNDS):
-        parent = saved(sent.groupBy("range").applyInArrow(_parent(dict(world) if number else None, parts, number), PARENT), "parent")
+        parent = saved(dealt(sent, parts, "range").groupBy("range").applyInArrow(_parent(dict(world) if number else None, parts, number), PARENT), "parent")
         m, s, v, one, two = _sums(parent.where("stats is not null"), 5)
         d = discount(one, two)
         world |= {"M": m, "S": s, "V": v, "d0": d, "back": (THETA + d * s) / (v + 1), "number": number + 1}
         mine = state.unionByName(tables, allowMissingColumns=True).unionByName(parent.where("part is not null").drop("stats"), allowMissingColumns=True)
         if number + 1 < ROUNDS:
-            last, swept = swept, saved(mine.groupBy("part").applyInArrow(_swept(dict(world)), KINDS), "swept")
+            last, swept = swept, saved(dealt(mine, parts, "part").groupBy("part").applyInArrow(_swept(dict(world)), KINDS), "swept")
             forget(parent, *filter(None, [last]))
             tables = swept.where("kind = 'tables'").select("kind", "part", "a")
             sent = of("words").select("part", "range", "a", "c").unionByName(swept.where("kind = 'words'").select("part", "range", "b"), allowMissingColumns=True)
-    return table, mine, world
+    return table, mine, world | {"parts": parts}
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,9 +370,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table, mine, world = trained(rows)
     asked = table.where("kind = 'asked'").select(F.col("part").alias("of"), "block", F.col("a").alias("word_at"), F.col("b").alias("ctx_at"), F.col("c").alias("codes"))
-    answers = asked.groupBy("of").cogroup(mine.groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
+    parts = world["parts"]
+    answers = dealt(asked, parts, "of").groupBy("of").cogroup(dealt(mine, parts, "part").groupBy("part")).applyInArrow(_answers(world), "block long, part int, lp binary, c binary")
     waiting = table.where("kind = 'docs'").select("block", "ids", "sizes", "held", "entries")
-    return waiting.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(world), f"doc_id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt(waiting, parts, "block").groupBy("block").cogroup(dealt(answers, parts, "block").groupBy("block")).applyInArrow(_scores(world), f"doc_id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """df by key over twice as many tasks as there are parts, so that a task's share doesn't grow with the data."""
+    return df.repartition(2 * parts, key)
+
+
 def same(left, right):
     """Equality under which null equals null."""
     return left.eqNullSafe(right)

@@ -245,3 +245,102 @@ def cloudtrail(line: Column) -> Column:
     return let(parsers.parse_json(line, TRAIL), lambda c: F.when(c.isNotNull(), make(c)))
 
 
+
+
+#: What a delivery's state says: status, severity. Fixed values.
+DELIVERY = {"sent": (1, 1), "deferred": (2, 2), "bounced": (2, 3)}
+POSTFIX = r"^postfix/([a-z-]+)\[\d+\]: (.*)$"
+
+
+def postfix(line: Column) -> Column:
+    """A syslog line of Postfix's smtp, smtpd, qmgr or bounce (class 4009)."""
+
+    def mail(activity, status, severity, says, *, sender=False, to=False, uid=False, size=False, src=False, dst=False):
+        def make(g):
+            rank = lambda x: x(g) if callable(x) else F.lit(x)
+            some = lambda name, ok: g(name) if ok else _none()
+            # A sender may be empty: it took part all the same.
+            origin = F.coalesce(g("from"), F.lit("")) if sender else _none()
+            email = F.struct(origin.alias("from"), F.when(F.lit(to), F.array(some("to", to))).alias("to"), some("queue", uid).alias("message_uid"), some("size", size).try_cast("long").alias("size"))
+            source = F.when(F.lit(src), F.struct(some("ip", src).alias("ip"), some("host", src).alias("hostname")))
+            return ocsf.record(4009, F.lit(activity), rank(severity), "The Postfix Project", "Postfix", status_id=rank(status).cast("long"), email=F.when(F.lit(sender or to or uid), email), src_endpoint=source, dst_endpoint=F.when(F.lit(dst), F.struct(some("ip", dst).alias("ip"))), message=says(g) if callable(says) else F.lit(says))
+
+        return make
+
+    of = lambda t, *names: lambda g: F.format_string(t, *[F.coalesce(g(n), F.lit("")) for n in names])
+    by = lambda i, other: lambda g: _by_name(g("status"), {k: v[i] for k, v in DELIVERY.items()}, other)
+    queue, peer = r"^(?P<queue>[A-F0-9]+): ", r"(?P<host>\S+?)\[(?P<ip>[^\]]+)\]"
+    shapes = {
+        "smtp": [Shape(queue + rf"to=<(?P<to>[^>]+)>(?:,\s*relay=(?:none|{peer}(?::\d+)?))?,\s*delay=[0-9.]+,\s*delays=\S+,\s*dsn=(?P<dsn>[0-9.]+),\s*status=(?P<status>\w+)(?:\s*\(.*\))?$", mail(1, by(0, 99), by(1, 1), of("Postfix smtp delivery (status=%s dsn=%s)", "status", "dsn"), to=True, uid=True, dst=True))],
+        "smtpd": [
+            Shape(rf"^connect from {peer}$", mail(2, 1, 1, "Postfix smtpd inbound connection", src=True), "connect from "),
+            Shape(rf"^NOQUEUE: reject: RCPT from {peer}: (?P<reason>[^;]+); from=<(?P<from>[^>]*)> to=<(?P<to>[^>]+)>", mail(2, 2, 3, of("Postfix smtpd reject: %s", "reason"), sender=True, to=True, src=True), "NOQUEUE: "),
+        ],
+        "qmgr": [Shape(queue + r"from=<(?P<from>[^>]*)>(?:,\s*size=(?P<size>\d+))?(?:,\s*nrcpt=\d+)?\s*\((?P<state>[^)]+)\)$", mail(1, 1, 1, of("Postfix qmgr %s", "state"), sender=True, uid=True, size=True))],
+        "bounce": [Shape(queue + r"sender non-delivery notification: (?P<bounce>[A-F0-9]+)$", mail(1, 2, 3, of("Postfix non-delivery notification (bounce_id=%s)", "bounce"), uid=True))],
+    }
+
+    def dispatch(msg: Column) -> Column:
+        program, body = F.regexp_extract(msg, POSTFIX, 1), F.regexp_extract(msg, POSTFIX, 2)
+        out = None
+        for name, own in shapes.items():
+            value = let(body, partial(_any_of, own))
+            out = F.when(program == name, value) if out is None else out.when(program == name, value)
+        return out
+
+    return let(parsers.syslog_parse(line)["msg"], dispatch)
+
+
+def _any_of(shapes: list[Shape], msg: Column) -> Column:
+    return first_shape(msg, shapes)
+
+
+#: Windows events: class, activity, severity, status (of logins), message. Fixed values.
+WINDOWS = {
+    4624: (3002, 1, 1, 1, "Windows logon success"),
+    4625: (3002, 1, 3, 2, "Windows logon failure (status=%s substatus=%s)"),
+    4634: (3002, 2, 1, 1, "Windows logoff"),
+    4647: (3002, 2, 1, 1, "Windows logoff"),
+    4688: (1007, 1, 1, None, "Process created"),
+    4689: (1007, 4, 1, None, "Process terminated (status=%s)"),
+    4720: (3001, 1, 2, None, "User account created"),
+    4722: (3001, 2, 2, None, "User account enabled"),
+    4724: (3001, 99, 2, None, "User account password reset by admin"),
+    4725: (3001, 3, 2, None, "User account disabled"),
+    4726: (3001, 4, 2, None, "User account deleted"),
+    4732: (3006, 1, 2, None, "Group member added"),
+    4733: (3006, 2, 2, None, "Group member removed"),
+    4756: (3006, 1, 2, None, "Group member added"),
+    4757: (3006, 2, 2, None, "Group member removed"),
+}
+WINDOWS_EVENT = "EventID long, EventTime string, Channel string, Hostname string, " + ", ".join(f"{n} string" for n in "TargetUserName TargetDomainName SubjectUserName SubjectDomainName IpAddress IpPort LogonType Status SubStatus NewProcessName CommandLine ParentProcessName ProcessName MemberName".split())
+
+
+def windows(line: Column) -> Column:
+    """A Windows security event in JSON: logins (class 3002), processes (1007), accounts (3001), groups (3006). One record type
+    holds the four classes."""
+
+    def account(name: Column, domain: Column) -> Column:
+        known = F.when(name != "-", name)
+        return F.when(domain.isNull() | (domain == "-"), known).otherwise(F.concat(domain, F.lit("\\"), known))
+
+    def make(e: Column) -> Column:
+        some = lambda x: F.when(x != "-", x)
+        target, actor = account(e["TargetUserName"], e["TargetDomainName"]), account(e["SubjectUserName"], e["SubjectDomainName"])
+        time = convert.to_int(convert.strptime(e["EventTime"], "%Y-%m-%d %H:%M:%S"), "timestamp")
+        s = lambda x: F.coalesce(x, F.lit(""))
+        out = None
+        for number, (class_uid, activity, severity, status, says) in WINDOWS.items():
+            login, process, group, logoff = class_uid == 3002, class_uid == 1007, class_uid == 3006, number in (4634, 4647)
+            when = lambda ok, x: F.when(F.lit(ok), x)
+            name = e["NewProcessName"] if number == 4688 else e["ProcessName"]
+            program = F.struct(name.alias("name"), when(number == 4688, e["CommandLine"]).alias("cmd_line"), F.struct(when(number == 4688, e["ParentProcessName"]).alias("name")).alias("parent_process"))
+            message = F.format_string(says, *[s(e[n]) for n in ("Status", "SubStatus")][: says.count("%s")]) if "%s" in says else F.lit(says)
+            peer = F.struct(when(not logoff, some(e["IpAddress"])).alias("ip"), when(not logoff, some(e["IpPort"])).try_cast("long").alias("port"))
+            record = ocsf.record(class_uid, F.lit(activity), F.lit(severity), "Microsoft Corporation", "Windows Event Log", status_id=F.lit(status).cast("long"), time=time, user=when(not process, _named(e["MemberName"] if group else target)), actor=F.struct(_named(when(not logoff, actor)).alias("user")), src_endpoint=when(login, peer), logon_type_id=when(login, e["LogonType"].try_cast("long")), group=when(group, _named(e["TargetUserName"])), process=when(process, program), device=_named(e["Hostname"]), message=message)
+            value = F.struct(F.lit("record").alias("kind"), record.alias("record"))
+            here = e["EventID"] == number
+            out = F.when(here, value) if out is None else out.when(here, value)
+        return out
+
+    return let(parsers.parse_json(line, WINDOWS_EVENT), make)

@@ -106,3 +106,27 @@ def in_range(events: DataFrame, ranges: DataFrame, on: str, first: str, last: st
     e = events.withColumn("_ip", _ip_number(F.col(on))).withColumn("_b", F.shiftright("_ip", 16))
     met = e.join(r, (F.col("_b") == F.col("_block")) & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
     return met.select(*events.columns, *[F.col(f"_v_{v}").alias(v) for v in values])
+
+
+def lookup_as_of(lookups: DataFrame, changes: DataFrame, key: str, order: list[str], name: str, ttl_seconds: float | None = None) -> DataFrame:
+    """lookups with the value that a changing table has for their key at their place in the order, as `name`.
+
+    changes: key, value, gone (a delete), the `order` columns, of which the first is a time; an upsert ends with its time to live.
+    One sort by key and order: each lookup sees the last change before it, so no task pairs lookups with changes, and a hot key
+    streams through with one change kept. A change and a lookup at one place: the change comes first."""
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    c = changes.select(F.col(key).alias("_key"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.lit(0).alias("_kind"), F.struct("value", "gone", at.alias("at")).alias("_change"), at.alias("_at"))
+    columns = lookups.columns
+    e = lookups.select(F.col(key).alias("_key"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.lit(1).alias("_kind"), at.alias("_at"), F.struct(*columns).alias("_event"))
+    w = Window.partitionBy("_key").orderBy(*[f"_o{i}" for i in range(len(order))], "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = e.unionByName(c, allowMissingColumns=True).withColumn("_last", F.last("_change", ignorenulls=True).over(w)).where("_kind = 1")
+    alive = ~F.col("_last.gone")
+    if ttl_seconds is not None:
+        alive = alive & (F.col("_at") - F.col("_last.at") < int(ttl_seconds * 1_000_000))
+    return seen.select(*[F.col("_event")[n].alias(n) for n in columns], F.when(alive & F.col("_key").isNotNull(), F.col("_last.value")).alias(name))
+
+
+def current(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key and value of a table after all changes: a key's last one, unless it is a delete; combined before the shuffle."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct("value", "gone"), F.struct(*order)).alias("_c"))
+    return last.where("not _c.gone").select(key, F.col("_c.value").alias("value"))

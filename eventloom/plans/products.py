@@ -198,3 +198,41 @@ def geo_lookup(spark, sf_dir):
     ranges = spark.createDataFrame([(f"10.0.{a}.0", f"10.0.{a + 63}.255", f"C{a // 64}") for a in range(0, 256, 64)], "first string, last string, country string")
     ip = F.when(F.col("event_id") % 300 < 256, _str("10.0.", (F.col("event_id") % 300).cast("string"), ".7")).otherwise("10.9.9.9")
     return tables.in_range(read(spark, sf_dir, "events").select("event_id", ip.alias("ip")), ranges, "ip", "first", "last", ["country"]).select("event_id", "country")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 2 END::BIGINT AS severity, CASE event_id % 4 WHEN 1 THEN 'a@x.example' WHEN 2 THEN '' END AS sender, CASE event_id % 4 WHEN 0 THEN 'u' || user_id || '@x.example' WHEN 1 THEN 'b@x.example' WHEN 3 THEN 'u' || user_id || '@x.example' END AS recipient,
+  CASE event_id % 4 WHEN 0 THEN 'Postfix smtp delivery (status=bounced dsn=5.1.1)' WHEN 1 THEN 'Postfix smtpd reject: 554 5.7.1 no ' || event_type WHEN 2 THEN 'Postfix qmgr queue active' WHEN 3 THEN 'Postfix smtp delivery (status=deferred dsn=4.4.1)' END AS message, CASE event_id % 4 WHEN 2 THEN event_id END AS size FROM events""")
+def postfix_mail(spark, sf_dir):
+    kind, to = F.col("event_id") % 4, _str("to=<u", _user(), "@x.example>, ")
+    msg = F.when(kind == 0, _str("smtp[7]: ABC1: ", to, "relay=mx.x.example[192.0.2.9]:25, delay=1.2, delays=0.1/0/1/0.1, dsn=5.1.1, status=bounced (no such user)")).when(kind == 1, _str("smtpd[7]: NOQUEUE: reject: RCPT from h.example[192.0.2.5]: 554 5.7.1 no ", _type(), "; from=<a@x.example> to=<b@x.example> proto=ESMTP"))
+    msg = msg.when(kind == 2, _str("qmgr[7]: ABC2: from=<>, size=", _id(), ", nrcpt=1 (queue active)")).otherwise(_str("smtp[7]: ABC3: ", to, "relay=none, delay=9, delays=1/1/7/0, dsn=4.4.1, status=deferred (timed out)"))
+    e = read(spark, sf_dir, "events").select("event_id", vendors.postfix(_str("<22>Feb 21 04:05:06 mail postfix/", msg)).alias("r")).select("event_id", "r.record.*")
+    return e.select("event_id", F.col("severity_id").alias("severity"), F.col("email.from").alias("sender"), F.get(F.col("email.to"), F.lit(0)).alias("recipient"), "message", F.col("email.size").alias("size"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 3002 WHEN 1 THEN 3002 WHEN 2 THEN 1007 WHEN 3 THEN 3006 END::BIGINT AS class_uid, CASE event_id % 5 WHEN 0 THEN 'D\\u' || user_id WHEN 1 THEN 'u' || user_id WHEN 3 THEN 'cn=u' || user_id END AS who, CASE event_id % 5 WHEN 0 THEN 'D\\admin' WHEN 2 THEN 'D\\admin' WHEN 3 THEN 'D\\admin' END AS actor,
+  CASE event_id % 5 WHEN 0 THEN 'Windows logon failure (status=0xc substatus=0x0)' WHEN 1 THEN 'Windows logoff' WHEN 2 THEN 'Process created' WHEN 3 THEN 'Group member added' END AS message, CASE WHEN event_id % 5 < 4 THEN epoch_us(date_trunc('second', ts)) * 1000 END AS time, CASE event_id % 5 WHEN 2 THEN event_type || '.exe' END AS process, CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 END::BIGINT AS logon FROM events""".replace("\\\\", "\\"))
+def windows_events(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    number = F.when(kind == 0, 4625).when(kind == 1, 4634).when(kind == 2, 4688).when(kind == 3, 4732).otherwise(1)
+    target = F.when(kind == 3, "team").otherwise(_str("u", _user()))
+    event = F.struct(number.alias("EventID"), convert.strftime(F.col("ts").cast("timestamp"), "%Y-%m-%d %H:%M:%S").alias("EventTime"), F.lit("pc").alias("Hostname"), target.alias("TargetUserName"), F.when(kind == 0, "D").otherwise("-").alias("TargetDomainName"), F.lit("admin").alias("SubjectUserName"), F.lit("D").alias("SubjectDomainName"), F.lit("-").alias("IpAddress"), F.lit("3").alias("LogonType"), F.lit("0xc").alias("Status"), F.lit("0x0").alias("SubStatus"), _str(_type(), ".exe").alias("NewProcessName"), _str("cn=u", _user()).alias("MemberName"))
+    r = read(spark, sf_dir, "events").select("event_id", vendors.windows(F.to_json(event)).alias("r")).select("event_id", "r.record.*")
+    return r.select("event_id", "class_uid", F.col("user.name").alias("who"), F.col("actor.user.name").alias("actor"), "message", "time", F.col("process.name").alias("process"), F.col("logon_type_id").alias("logon"))
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts, row_number() OVER (ORDER BY ts, event_id) AS o, event_type FROM events),
+ch AS (SELECT user_id, o, ts, event_id AS v, event_type = 'error' AS gone FROM c WHERE event_type IN ('signup', 'error'))
+SELECT l.event_id, CASE WHEN NOT ch.gone AND epoch_us(l.ts) - epoch_us(ch.ts) < 36000000000 THEN ch.v END AS session FROM (SELECT * FROM c WHERE event_type NOT IN ('signup', 'error')) l ASOF LEFT JOIN ch ON l.user_id = ch.user_id AND l.o > ch.o""")
+def table_as_of(spark, sf_dir):
+    """A table that events change (a signup opens a session for ten hours, an error closes it) and others look into."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    changes = e.where("event_type in ('signup', 'error')").select("user_id", "ts", "event_id", F.col("event_id").alias("value"), (F.col("event_type") == "error").alias("gone"))
+    lookups = e.where("event_type not in ('signup', 'error')")
+    return tables.lookup_as_of(lookups, changes, "user_id", ["ts", "event_id"], "session", 36000).select("event_id", "session")
+
+
+@query("SELECT user_id, event_id AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'error')) WHERE n = 1 AND event_type = 'signup' AND user_id IS NOT NULL")
+def table_current(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')").where("user_id is not null")
+    return tables.current(e.select("user_id", "ts", "event_id", F.col("event_id").alias("value"), (F.col("event_type") == "error").alias("gone")), "user_id", ["ts", "event_id"])

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import given_back
+
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space as the tokenizer has it (without the separators 1C to 1F), and its rule for pieces. Fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -168,5 +170,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 all_ids = [c.encode(t.as_py() or "") for t in batch.column(1)]
                 cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(map(c.decode, all_ids), pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in (FIELDS + more).split(", "))])
+        given_back()
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {FIELDS}{more}")

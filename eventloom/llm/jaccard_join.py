@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import pack, unpack
-from .shared import WordHash, dealt, forget, saved, shingles, text_bytes
+from .shared import WordHash, dealt, forget, given_back, saved, shingles, text_bytes
 
 PARTS = 32
-BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 50_000
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 50_000
 #: Bytes of text for each range of shingles.
 RANGE_BYTES = 8 << 20
 #: A shingle that so many sets of a block have is common there.
@@ -167,6 +167,7 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     block, ids, sets, size = block + 1, [], [], 0
         if ids:
             yield _packed(block, ids, sets, ranges, id_type)
+        given_back(_hash)
 
     schema = f"key long, block long, cells binary, owners binary, common binary, counts binary, ids array<{kind}>, n binary, sig array<binary>, parts binary"
     asked = rows.select("id", "text").mapInArrow(run, schema)
@@ -233,6 +234,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> D
                 found = list(_sets(batch.column(1), k))
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate(found).view(np.int64))], ["id", "set"])
+        given_back(_hash)
 
     all_sets = rows.where("id is not null").select("id", "text", cell("id").alias("cell")).mapInArrow(sets, f"id {dict(rows.dtypes)['id']}, set array<long>")
     one = all_sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import given_back
+
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
 WINDOW = 5
 MIN_WORDS = 10
@@ -129,6 +131,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [batch.column(i).slice(at, len(block)) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, measured(block))], [*batch.schema.names[:-1], *(x.split()[0] for x in FIELDS.split(", "))])
             at += len(block)
+    given_back()
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +145,7 @@ def _select(text_at: int):
         for batch in batches:
             good = [k for block in blocks(batch.column(text_at).cast(pa.binary())) for k in measured(block)[-1]]
             yield batch.filter(pa.array(good, pa.bool_()))
+        given_back()
 
     return run
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,14 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def given_back(*caches: dict) -> None:
+    """At a task's end: what its worker remembers goes, and memory that Arrow keeps for later goes back to the system, so that idle
+    workers of a reused pool are small."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (multiply and xor-shift)."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

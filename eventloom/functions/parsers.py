@@ -6,6 +6,7 @@ backtrack. `defaults` fills in what a text doesn't say: keys that are missing or
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -39,7 +40,7 @@ def set_pri(s: Column, facility: Column, severity: Column) -> Column:
 
 
 def _some(x: Column) -> Column:
-    return F.when((x != "") & (x != "-"), x)
+    return F.when(~x.isin("", "-"), x)
 
 
 #: One element of structured data and the spaces behind it, where the one before ended; it may be unfinished.
@@ -50,18 +51,9 @@ FIELDS = ["timestamp", "hostname", "appname", "procid", "msgid", "msg"]
 
 def _new(p: Column) -> list[Column]:
     """FIELDS of the new format; p: the text behind the PRI, cut at its first six spaces."""
-    rest = F.ltrim(F.coalesce(F.get(p, F.lit(6)), F.lit("")))
-    msg = F.when(F.startswith(rest, F.lit("[")), F.regexp_replace(rest, ELEMENT, "")).when(F.startswith(rest, F.lit("-")), F.ltrim(_from(rest, 2))).otherwise(rest)
-    return [*(_some(F.get(p, F.lit(i))) for i in range(1, 6)), F.nullif(msg, F.lit(""))]
-
-
-def _old(head: Column, tail: Column, timestamp: Column, host: Column) -> list[Column]:
-    """FIELDS of the old format; head: the tag up to its colon, or empty; tail: what follows the host."""
-    tagged = head != ""
-    app = F.substring_index(F.substring(head, F.lit(1), F.length(head) - 1), "[", 1)
-    pid = F.when(F.endswith(head, F.lit("]:")), F.substring(head, F.length(app) + 2, F.length(head) - F.length(app) - 3))
-    msg = F.when(tagged, _from(tail, F.length(head) + 2)).otherwise(tail)
-    return [_some(timestamp), _some(host), F.when(tagged, app), F.when(tagged, _some(pid)), F.lit(None).cast("string"), F.nullif(msg, F.lit(""))]
+    data = lambda r: F.when(F.startswith(r, F.lit("[")), F.regexp_replace(r, ELEMENT, "")).when(F.startswith(r, F.lit("-")), F.ltrim(_from(r, 2))).otherwise(r)
+    msg = let(let(F.ltrim(F.get(p, F.lit(6))), data), lambda m: F.when(m != "", m))
+    return [*(_some(F.get(p, F.lit(i))) for i in range(1, 6)), msg]
 
 
 def syslog_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column:
@@ -72,19 +64,29 @@ def syslog_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column
         fill = lambda name, x: F.coalesce(x, defaults[name].cast("string")) if defaults and name in defaults else x
         return F.struct(pri.alias("pri"), F.shiftright(pri, 3).alias("facility"), pri.bitwiseAND(F.lit(7)).alias("severity"), *(fill(n, f).alias(n) for n, f in zip(FIELDS, fields, strict=True)))
 
-    def old(pri: Column, rest: Column, p: Column) -> Column:
-        timed = F.size(p) > 3
-        timestamp = F.when(timed, F.trim(F.concat_ws(" ", F.slice(p, 1, 3))))
-        body = F.ltrim(F.when(timed, F.get(p, F.lit(3))).otherwise(rest))
-        from_host = lambda b: let(F.substring_index(b, " ", 1), lambda host: let(F.ltrim(_from(b, F.length(host) + 2)), lambda tail: let(F.regexp_extract(tail, TAG, 0), lambda head: record(pri, _old(head, tail, timestamp, host)))))
-        return let(body, from_host)
+    def old(pri: Column, rest: Column, upto: Column) -> Column:
+        timed = F.length(upto) < F.length(rest)
+        timestamp = F.when(timed, let(F.trim(upto), _some))
+        body = F.ltrim(F.when(timed, _from(rest, F.length(upto) + 2)).otherwise(rest))
+
+        def fields(host: Column, tail: Column, head: Column, app: Column) -> Column:
+            pid = F.when(F.endswith(head, F.lit("]:")), let(F.substring(head, F.length(app) + 2, F.length(head) - F.length(app) - 3), _some))
+            msg = F.when(head == "", tail).otherwise(_from(tail, F.length(head) + 2))
+            return record(pri, [timestamp, _some(host), F.when(app != "", app), pid, F.lit(None).cast("string"), F.nullif(msg, F.lit(""))])
+
+        tag = lambda head: F.rtrim(F.substring_index(head, "[", 1), F.lit(":"))
+        from_tail = lambda host: lambda tail: let(F.regexp_extract(tail, TAG, 0), lambda head: let(tag(head), lambda app: fields(host, tail, head, app)))
+        return let(body, lambda b: let(F.substring_index(b, " ", 1), lambda host: let(F.ltrim(_from(b, F.length(host) + 2)), from_tail(host))))
 
     def body(pri: Column, rest: Column) -> Column:
-        is_new = (F.substring(rest, 2, 1) == " ") & F.substring(rest, 1, 1).between("0", "9")
-        return F.when(is_new, let(F.split(rest, " ", 7), lambda p: record(pri, _new(p)))).otherwise(let(F.split(rest, " ", 4), lambda p: old(pri, rest, p)))
+        is_new = F.substring(rest, 1, 2).isin(*[f"{i} " for i in range(10)])
+        return F.when(is_new, let(F.split(rest, " ", 7), lambda p: record(pri, _new(p)))).otherwise(let(F.substring_index(rest, " ", 3), lambda upto: old(pri, rest, upto)))
+
+    def line(s: Column) -> Column:
+        rest = _from(s, F.locate(">", s) + 1)
+        return let(F.regexp_extract(s, PRI, 1).try_cast("int"), lambda pri: F.when(pri <= 191, let(rest, lambda r: body(pri, r))))
 
-    digits = F.regexp_extract(s, PRI, 1)
-    return let(digits, lambda d: F.when(d != "", let(d.try_cast("int"), lambda pri: F.when(pri <= 191, body(pri, _from(s, F.length(d) + 3))))))
+    return let(s, line)
 
 
 def first_wins(entries: Column) -> Column:
@@ -115,7 +117,7 @@ def parse_kv(s: Column, sep: str = " ", defaults: dict[str, Column] | None = Non
     body = r'[^"\\]*+(?:\\.[^"\\]*+)*+\\?+'
     # A key starts behind a separator, or where the token before ended.
     quoted = rf'(?s)(?:\G|(?<={c}))[^={c}]*+=(?:"{body}(?:"|\z)|[^{c}]*+)'
-    tokens = F.when(F.contains(s, F.lit('"')), F.regexp_extract_all(s, F.lit(quoted), F.lit(0))).otherwise(F.split(s, c))
+    tokens = lambda s: F.when(F.contains(s, F.lit('"')), F.regexp_extract_all(s, F.lit(quoted), F.lit(0))).otherwise(F.split(s, sep if sep.isalnum() or sep in " ,;" else c))
 
     def pair(t: Column) -> Column:
         def split(k: Column) -> Column:
@@ -124,8 +126,8 @@ def parse_kv(s: Column, sep: str = " ", defaults: dict[str, Column] | None = Non
 
         return let(F.substring_index(t, "=", 1), split)
 
-    some = F.filter(tokens, lambda t: F.locate("=", t) > 1)
-    return _filled(F.when(s.isNotNull(), first_wins(F.transform(some, pair))), defaults)
+    some = lambda tokens: F.filter(tokens, lambda t: F.locate("=", t) > 1)
+    return let(s, lambda s: _filled(F.when(s.isNotNull(), first_wins(F.transform(some(tokens(s)), pair))), defaults))
 
 
 def csv_parse(s: Column, names: list[str]) -> Column:
@@ -135,6 +137,7 @@ def csv_parse(s: Column, names: list[str]) -> Column:
     return F.when(s.isNotNull(), let(row, lambda r: F.struct(*[F.nullif(r[n], F.lit("")).alias(n) for n in full if not n.startswith("_skip")])))
 
 
+KEY_LETTERS = string.ascii_letters + string.digits + "_"
 CEF_HEADER = ["version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity"]
 
 
@@ -147,11 +150,12 @@ def cef_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column:
     def record(p: Column) -> Column:
         number = F.when(F.get(p, F.lit(6)).rlike(r"^[+-]?[0-9]+$"), F.get(p, F.lit(6)).try_cast("long"))
         header = [F.get(p, F.lit(i)).alias(n) for i, n in enumerate(CEF_HEADER[:-1])]
-        tail = F.regexp_extract(F.get(p, F.lit(7)), first, 0)
-        tokens = F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, r"\x20(?=[A-Za-z0-9_]++=)"))
+        # Mostly the first key stands first; else what is before it goes.
+        tail = let(F.get(p, F.lit(7)), lambda t: F.when(F.translate(F.substring_index(t, "=", 1), KEY_LETTERS, "") == "", t).otherwise(F.regexp_extract(t, first, 0)))
+        tokens = let(tail, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\x20(?=[A-Za-z0-9_]++=)")))
         return F.struct(*header, F.coalesce(number.cast("string"), F.get(p, F.lit(6))).alias("severity"), number.alias("severity_id"), _filled(first_wins(F.transform(tokens, pair)), defaults).alias("extensions"))
 
-    return F.when(F.startswith(s, F.lit("CEF:")), let(F.split(_from(s, 5), r"\|", 8), lambda p: F.when(F.size(p) == 8, record(p))))
+    return let(s, lambda s: F.when(F.startswith(s, F.lit("CEF:")), let(F.split(_from(s, 5), r"\|", 8), lambda p: F.when(F.size(p) == 8, record(p)))))
 
 
 #: A key that starts with $ where JSON has one: reserved, but for doubled ones and the form of bytes.

@@ -36,18 +36,28 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+#: Stands between a match's groups; a message that has it is in no shape.
+CUT = "\x01"
+
+
 def first_shape(msg: Column, shapes: list[Shape], empty: Column | None = None) -> Column:
-    """kind and record of the first shape that a message has, else null."""
-    out = None
-    for s in shapes:
+    """kind and record of the first shape that a message has, else null. A match's groups are taken in one go: the message is
+    replaced by them, with CUT before each, and split there."""
+
+    def value(s: Shape) -> Column:
         names = re.compile(s.pattern).groupindex
-        java = re.sub(r"\?P<\w+>", "", s.pattern)
-        there = msg.rlike(java)
-        there = F.startswith(msg, F.lit(s.starts)) & there if s.starts else there
-        get = lambda n, names=names, java=java: msg if n == "body" else F.nullif(F.regexp_extract(msg, java, names[n]), F.lit("")) if n in names else _none()
-        value = F.struct(F.lit(s.kind).alias("kind"), (s.make(get) if s.make else empty).alias("record"))
-        out = F.when(there, value) if out is None else out.when(there, value)
-    return out
+        bare = re.sub(r"\?P<\w+>", "", s.pattern)
+        whole = ("(?s)^" + bare[1:] if bare.startswith("^") else "(?s)^.*?" + bare) + ".*$"
+        groups = F.regexp_replace(msg, whole, CUT + "".join(f"${i}{CUT}" for i in range(1, len(names) + 1)))
+        found = F.when(F.startswith(msg, F.lit(s.starts)), groups) if s.starts else groups
+
+        def build(parts: Column) -> Column:
+            get = lambda n: msg if n == "body" else F.nullif(F.get(parts, F.lit(names[n])), F.lit("")) if n in names else _none()
+            return F.struct(F.lit(s.kind).alias("kind"), (s.make(get) if s.make else empty).alias("record"))
+
+        return let(found, lambda j: F.when(F.startswith(j, F.lit(CUT)), let(F.split(j, CUT), build)))
+
+    return let(msg, lambda m: F.when(~F.contains(m, F.lit(CUT)), F.coalesce(*map(value, shapes))))
 
 
 def _one(shape: Shape, msg: Column) -> Column:

@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """One row for each row of docs: doc_id, n_shingles, component_id. Two documents link when den * intersection >= num * union."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     all_sets = saved(prefixes(rows, k, num, den), "sets")
-    classes = all_sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min(F.struct("id", "n", "prefix", "pos", "parts")).alias("c"), F.count("*").alias("members"))
+    classes = all_sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min(F.struct("id", F.col("prefix").isNull().alias("void"), "n", "prefix", "pos", "parts")).alias("c"), F.count("*").alias("members"))
     classes = saved(classes.select("sig", F.col("c.id").alias("rep"), "c.n", "c.prefix", "c.pos", "c.parts", "members"), "classes")
     posts = postings(classes)
     # Only meetings of two sets at least.
@@ -296,7 +296,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     as many rows as they have links between different sets."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     all_sets = saved(prefixes(rows, k, num, den).where("n > 0 and id is not null"), "sets")
-    classes = all_sets.groupBy("sig").agg(F.min(F.struct("id", "n", "prefix", "pos", "parts")).alias("c"), F.count("*").alias("members"))
+    classes = all_sets.groupBy("sig").agg(F.min(F.struct("id", F.col("prefix").isNull().alias("void"), "n", "prefix", "pos", "parts")).alias("c"), F.count("*").alias("members"))
     classes = saved(classes.select("sig", F.col("c.id").alias("rep"), "c.n", "c.prefix", "c.pos", "c.parts", "members"), "classes")
     posts = postings(classes)
     x = posts.select("h", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))

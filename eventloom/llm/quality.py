@@ -143,8 +143,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _select(text_at: int):
     def run(batches):
         for batch in batches:
-            good = [k for block in blocks(batch.column(text_at).cast(pa.binary())) for k in measured(block)[-1]]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            at = 0
+            for block in blocks(batch.column(text_at).cast(pa.binary())):
+                yield batch.slice(at, len(block)).filter(pa.array(measured(block)[-1]))
+                at += len(block)
         given_back()
 
     return run

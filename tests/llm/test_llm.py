@@ -116,6 +116,17 @@ def test_jaccard_all_links(spark, texts):
     assert sum(a != b for a, b, _ in got) > len({a for a, b, _ in got} | {b for a, b, _ in got})  # more than a spanning tree
 
 
+def test_jaccard_repeated_rows(spark):
+    """Rows that repeat both identifier and text, in one block and in several, are linked like single ones."""
+    base = [f"b{i}" for i in range(100)]
+    near = [*base[:50], "x", *base[51:]]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join(near)), (2, " ".join(near)), (3, " ".join(f"c{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs.coalesce(1), docs.repartition(4)):
+        got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(df, 3, 90, 100).collect())
+        assert got == Counter({(1, 1): 2, (2, 1): 2, (3, 3): 1})
+
+
 def test_jaccard_odd(odd):
     got = Counter(map(tuple, jaccard_join.near_duplicates(odd, 3, 90, 100).collect()))
     assert got == Counter({(1, 0, 1): 1, (2, 0, 2): 1, (3, 1, 3): 1, (4, 1, 3): 2, (None, 1, None): 1, (6, 29998, 6): 1, (7, 29999, 6): 1, (8, 0, 8): 1, (9, 2, 9): 1, (None, 0, None): 1})

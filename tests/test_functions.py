@@ -203,3 +203,53 @@ def test_stream_dedup(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("passed").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("passed").collect())) == [("a", 2), ("b", 1)]
+
+
+def test_stream_event_time(spark, tmp_path):
+    from eventloom.streaming import dedup
+
+    (tmp_path / "in").mkdir()
+    rows = [("a", "2027-02-21 00:00:00", "finished"), ("a", "2027-02-21 00:00:05", "finished"), ("b", "2027-02-21 00:01:10", "errored")]
+    (tmp_path / "in/a.json").write_text("\n".join(f'{{"k":"{k}","ts":"{t}","outcome":"{o}"}}' for k, t, o in rows))
+    (tmp_path / "in/b.json").write_text('{"k":"z","ts":"2027-02-21 03:00:00","outcome":"dropped"}')
+    read = lambda: spark.readStream.schema("k string, ts timestamp, outcome string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(map(tuple, spark.table(name).collect()))
+
+    assert [r[0] for r in run(dedup.dedup_event_time(read(), ["k"], "ts", "10 minutes").select("k"), "first_events")] == ["a", "b", "z"]
+    got = run(dedup.counters(read(), "ts", "1 minute", "10 minutes").selectExpr("cast(start as string)", "outcome", "events"), "counts")
+    assert got == [("2027-02-21 00:00:00", "finished", 2), ("2027-02-21 00:01:00", "errored", 1)]
+
+
+def test_http_sink(spark):
+    import gzip
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from eventloom.sources.http import post
+
+    got, fails = [], [1]
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = gzip.decompress(self.rfile.read(int(self.headers["Content-Length"]))).decode()
+            bad = "p7" in body or bool(fails and fails.pop())
+            if not bad:
+                got.extend(body.split("\n"))
+            self.send_response(503 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"busy")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(8)] + [(None,)], "payload string").coalesce(1)
+    out = post(rows, f"http://127.0.0.1:{server.server_port}/", batch=3, compress=True, attempts=2, wait=0.01).collect()
+    server.shutdown()
+    assert [(r["rows"], r["status"], r["error"], r["attempts"]) for r in out] == [(3, 200, None, 2), (3, 200, None, 1), (2, 503, "busy", 2)]
+    assert sorted(got) == [f"p{i}" for i in range(6)]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import given_back
+from .shared import given_back, text_batches
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space as the tokenizer has it (without the separators 1C to 1F), and its rule for pieces. Fixed values.
@@ -172,4 +172,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in (FIELDS + more).split(", "))])
         given_back()
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {FIELDS}{more}")
+    return text_batches(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {FIELDS}{more}")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import pack, unpack
-from .shared import WordHash, dealt, forget, given_back, saved, shingles, text_bytes
+from .shared import WordHash, dealt, forget, given_back, saved, shingles, text_batches, text_bytes
 
 PARTS = 32
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 50_000
@@ -170,7 +170,7 @@ def prefixes(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
         given_back(_hash)
 
     schema = f"key long, block long, cells binary, owners binary, common binary, counts binary, ids array<{kind}>, n binary, sig array<binary>, parts binary"
-    asked = rows.select("id", "text").mapInArrow(run, schema)
+    asked = text_batches(rows.select("id", "text")).mapInArrow(run, schema)
     answered = dealt(asked, ranges, "key").groupBy("key").applyInArrow(_counted, schema)
     return dealt(answered, ranges, "block").groupBy("block").applyInArrow(_chosen(num, den), f"id {kind}, n long, sig binary, prefix binary, pos binary, parts array<int>")
 

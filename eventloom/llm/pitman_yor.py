@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import pack, pack_up, unpack, unpack_up
-from .shared import WordHash, dealt, forget, given_back, saved, text_bytes
+from .shared import WordHash, dealt, forget, given_back, saved, text_batches, text_bytes
 
 BLOCK_TOKENS = 2_000_000
 #: Bytes of text for each part of the restaurants and each range of words.
@@ -105,7 +105,7 @@ def blocks(rows: DataFrame, parts: int) -> DataFrame:
             yield packed(block, ids, tokens, id_type)
         given_back(_words)
 
-    return rows.select("id", "text").mapInArrow(run, f"key long, block long, words binary, ctxs binary, codes binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
+    return text_batches(rows.select("id", "text")).mapInArrow(run, f"key long, block long, words binary, ctxs binary, codes binary, n binary, ids array<{kind}>, sizes binary, held binary, entries binary")
 
 
 def stirling(size: int, d: float) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import given_back
+from .shared import given_back, text_batches
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
 WINDOW = 5
@@ -137,7 +137,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id and FIELDS."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_judge, f"doc_id {dict(rows.dtypes)['doc_id']}, {FIELDS}")
+    return text_batches(rows).mapInArrow(_judge, f"doc_id {dict(rows.dtypes)['doc_id']}, {FIELDS}")
 
 
 def _select(text_at: int):
@@ -154,4 +154,4 @@ def _select(text_at: int):
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; nothing is shuffled."""
-    return docs.mapInArrow(_select(docs.columns.index(text_col)), docs.schema)
+    return text_batches(docs).mapInArrow(_select(docs.columns.index(text_col)), docs.schema)

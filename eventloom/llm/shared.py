@@ -93,6 +93,19 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Spark's own number of rows in a batch for Python, and what texts get instead.
+ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to send texts to Python in batches of TEXT_ROWS, unless it has a setting of its own: a batch of long
+    texts is held by the JVM, Arrow and Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
+
+
 def given_back(*caches: dict) -> None:
     """At a task's end: what its worker remembers goes, and memory that Arrow keeps for later goes back to the system, so that idle
     workers of a reused pool are small."""

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import n_shuffle, saved, shared_dir
+from .shared import n_shuffle, saved, shared_dir, text_batches
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 FLUSH = 512  # sequences in a batch
@@ -184,7 +184,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
             sink.close()
             yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": path, "n_docs": docs, "n_tokens": at}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    return saved(rows.mapInArrow(run, MANIFEST), "manifest")
+    return saved(text_batches(rows).mapInArrow(run, MANIFEST), "manifest")
 
 
 class Sequences:

@@ -1,6 +1,12 @@
 """The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing of sources, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+
+Results for special cases: null, empty and very short texts go with the quality rules; very long texts are whole (the mix cuts a
+document only where its source's budget ends); rows that repeat identifier and text are one document from the exact dedup on; rows
+that share an identifier but not the text stay apart, but where one of them is a near copy of another document all of the
+identifier go or stay; null identifiers are kept apart from all others; null sources are a source; other columns are carried up to
+the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -256,8 +256,6 @@ def test_pitman_yor_sums_to_one(spark, texts, monkeypatch):
             contexts += 1
     assert contexts > 100
     # The parent's probabilities over all parts' words, each once, and the unseen word sum to one too.
-    import pyarrow.parquet  # noqa: F401
-
     tokens = Counter(w for i, t in texts.items() if not pitman_yor.held_out(i) for w in [*(t or "").encode().lower().split(), pitman_yor.END])
     assert world["V"] == len(tokens)
     everything, _ = parts_of_whole(spark, texts, monkeypatch)

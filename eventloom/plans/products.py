@@ -41,7 +41,7 @@ def openssh_logins(spark, sf_dir):
     msg = msg.when(kind == 3, _str("Did not receive identification string from ", at)).when(kind == 4, _str("Received disconnect from ", _ip(), " port 77:11: bye")).otherwise("Server listening on :: port 22.")
     line = _str("<86>Feb 21 04:05:06 host sshd[", _id(), "]: ", msg)
     e = read(spark, sf_dir, "events").select("event_id", vendors.openssh(line).alias("r"))
-    return e.select("event_id", ocsf.compose(F.col("r.record"), _NAMES, F.col("event_id")).alias("event"), F.col("r.kind").alias("kind"))
+    return e.select("event_id", ocsf.compose(F.col("r.record"), _NAMES, F.col("event_id"), [3002]).alias("event"), F.col("r.kind").alias("kind"))
 
 
 _HTTP = [n for n in "class_uid activity_id severity_id status_id time src_endpoint actor http_request http_response metadata".split()]
@@ -58,7 +58,7 @@ def access_log(spark, sf_dir):
     time = convert.strftime(F.col("ts").cast("timestamp"), "%d/%b/%Y:%H:%M:%S")
     line = _str(_ip(), " - ", user, " [", time, " +0900] \"", pick(3, "GET", "POST", "PATCH"), " /", _type(), " HTTP/1.1\" ", (200 + 100 * (F.col("event_id") % 4)).cast("string"), " ", _id(), " \"", refer, "\" \"agent ", _user(), "\"")
     line = F.when(F.col("event_id") % 4 == 0, F.substring(line, 1, 20)).otherwise(line)
-    return read(spark, sf_dir, "events").select("event_id", vendors.combined_log(line).alias("r")).select("event_id", ocsf.compose(F.col("r.record"), _HTTP, F.col("event_id")).alias("event"))
+    return read(spark, sf_dir, "events").select("event_id", vendors.combined_log(line).alias("r")).select("event_id", ocsf.compose(F.col("r.record"), _HTTP, F.col("event_id"), [4002]).alias("event"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END::BIGINT AS status, CASE event_id % 4 WHEN 0 THEN 'root' WHEN 1 THEN 'db' WHEN 2 THEN 'root' END AS target, CASE WHEN event_id % 4 IN (0, 1) THEN 'u' || user_id WHEN event_id % 4 = 2 THEN 'bob' END AS actor,
@@ -236,3 +236,18 @@ def table_as_of(spark, sf_dir):
 def table_current(spark, sf_dir):
     e = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')").where("user_id is not null")
     return tables.current(e.select("user_id", "ts", "event_id", F.col("event_id").alias("value"), (F.col("event_type") == "error").alias("gone")), "user_id", ["ts", "event_id"])
+
+
+_FIELDS = sorted({f for fields in ocsf.CLASSES.values() for f in fields.split()} | {"message"})
+
+
+@query(f"""SELECT event_id, '{{"class_uid":' || c || ',"category_uid":' || c // 1000 || ',"activity_id":7,"type_uid":' || c * 100 + 7 || ',"severity_id":1' || CASE WHEN list_contains(f, 'status_id') THEN ',"status_id":"status_id"' ELSE '' END || ',"time":' || event_id ||
+  coalesce(list_reduce(list_transform(list_filter(f, lambda x: x <> 'status_id'), lambda x: ',"' || x || '":"' || x || '"'), lambda a, b: a || b), '') || ',"message":"message"}}' AS event
+FROM (SELECT event_id, c, string_split(f, ' ') AS f FROM events JOIN (VALUES {', '.join(f"({i}, {c}, '{f}')" for i, (c, f) in enumerate(ocsf.CLASSES.items()))}) v(i, c, f) ON event_id % 28 = i)
+UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 28 = 27""")
+def compose_classes(spark, sf_dir):
+    """A record of each of the 27 classes, and one of an unknown class, that has every field: each class keeps its own."""
+    uid = F.get(F.array(*[F.lit(c) for c in ocsf.CLASSES], F.lit(9999)), (F.col("event_id") % 28).cast("int"))
+    record = F.struct(uid.alias("class_uid"), F.lit(7).alias("activity_id"), F.lit(1).alias("severity_id"), *[F.lit(f).alias(f) for f in _FIELDS])
+    e = read(spark, sf_dir, "events").select("event_id", record.alias("r"))
+    return e.select("event_id", ocsf.compose(F.col("r"), ["class_uid", "activity_id", "severity_id", *_FIELDS], F.col("event_id")).alias("event"))

@@ -44,7 +44,7 @@ BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 50_000
 RANGE_BYTES = 8 << 20
 #: A shingle that so many sets of a block have is common there.
 COMMON = 16
-#: Bits of the map of identifiers: eight for each, up to 16 MB in all (beyond, it keeps fewer sets out of a shuffle).
+#: Bits of the map of identifiers: eight for each, up to 32 MB as broadcast (beyond, it keeps fewer sets out of a shuffle).
 ID_BITS = 15, 27
 
 _hash = WordHash()

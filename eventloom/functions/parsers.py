@@ -151,7 +151,7 @@ def cef_parse(s: Column, defaults: dict[str, Column] | None = None) -> Column:
         number = F.when(F.get(p, F.lit(6)).rlike(r"^[+-]?[0-9]+$"), F.get(p, F.lit(6)).try_cast("long"))
         header = [F.get(p, F.lit(i)).alias(n) for i, n in enumerate(CEF_HEADER[:-1])]
         # Mostly the first key stands first; else what is before it goes.
-        tail = let(F.get(p, F.lit(7)), lambda t: F.when(F.translate(F.substring_index(t, "=", 1), KEY_LETTERS, "") == "", t).otherwise(F.regexp_extract(t, first, 0)))
+        tail = let(F.get(p, F.lit(7)), lambda t: F.when((F.locate("=", t) > 1) & (F.translate(F.substring_index(t, "=", 1), KEY_LETTERS, "") == ""), t).otherwise(F.regexp_extract(t, first, 0)))
         tokens = let(tail, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\x20(?=[A-Za-z0-9_]++=)")))
         return F.struct(*header, F.coalesce(number.cast("string"), F.get(p, F.lit(6))).alias("severity"), number.alias("severity_id"), _filled(first_wins(F.transform(tokens, pair)), defaults).alias("extensions"))
 

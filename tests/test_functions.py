@@ -75,6 +75,7 @@ def test_cef_severity(spark):
     got = [one(spark, parsers.cef_parse, f"CEF:0|A|S|2|1|n|{x}|") for x in ("7", "07", "High")]
     assert [(r["severity"], r["severity_id"]) for r in got] == [("7", 7), ("7", 7), ("High", None)]
     assert one(spark, parsers.cef_parse, "hello CEF:0|A|S|2|1|n|7|") is None
+    assert [one(spark, parsers.cef_parse, f"CEF:0|A|S|2|1|n|7|{x}")["extensions"] for x in ("", "word", "=v", "=v a=1")] == [{}, {}, {}, {"a": "1"}]
     assert one(spark, parsers.cef_parse, "CEF:0|A|S|2|1|n|7|junk a.b=c x.y=2 d= k=1 k=2")["extensions"] == {"b": "c x.y=2", "d": "", "k": "1"}
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A value's scalar forms; arrays and maps of values are kept as their JSON text.
@@ -91,19 +91,34 @@ def _key(x: Column) -> Column:
     return F.to_json(F.struct(ordered.alias("a"), x["dropped_attributes_count"].alias("n")))
 
 
-def merge(records: DataFrame, level: str = "resource") -> DataFrame:
+def merge(records: DataFrame, level: str = "resource", most: int = 1000, most_bytes: int = 1_000_000) -> DataFrame:
     """resource_logs: one for each resource (level resource: each record keeps a scope_logs of its own; scope: one scope_logs for
     each scope) from resource, scope, record and schema_url. Of schema_urls the first that isn't empty counts.
 
-    A request holds all records of its resource, so a caller bounds it by a batch column among the records (`batch`)."""
+    A request has room for `most_bytes` of its records' JSON, of which each takes at least one part in `most`; only its last record
+    may go beyond. A resource that fits gets one request, the records of one that doesn't are all dealt over several. Records of
+    different `batch`, if there is such a column, don't meet."""
     by = [c for c in ("batch",) if c in records.columns]
-    url = F.min(F.nullif(F.col("schema_url"), F.lit(""))).alias("schema_url")
-    rows = records.withColumn("_r", _key(F.col("resource")))
+    url = F.nullif(F.col("schema_url"), F.lit(""))
+    least = max(1, most_bytes // most)
+    room = min(least * most, most_bytes)
+    rows = records.withColumn("_r", _key(F.col("resource"))).withColumn("_took", F.greatest(F.octet_length(F.to_json(F.struct("scope", "record"))), F.lit(least)).cast("long"))
+    # Resources that don't fit are few beside their records. Groups are planned to be four fifths full, as dealing is by chance.
+    total = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_r")]).agg(F.sum("_took").alias("_total"), F.min(url).alias("_url"))
+    large = total.where(F.col("_total") > room).withColumn("_groups", F.ceil(F.col("_total") / (0.8 * room)))
+    same = F.col("_r") == F.col("_of__r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rows = rows.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(large), same, "left")
+    rows = rows.withColumn("_group", F.when(F.col("_groups").isNotNull(), F.pmod(F.xxhash64("_n"), F.col("_groups"))).otherwise(0))
+    before = F.sum("_took").over(Window.partitionBy(*by, "_r", "_group").orderBy("_n")) - F.col("_took")
+    rows = rows.withColumn("_part", F.floor(before / room))
+    of = [*by, "_r", "_group", "_part"]
     if level == "scope":
         rows = rows.withColumn("_s", F.concat_ws("|", F.col("scope.name"), F.col("scope.version"), _key(F.col("scope"))))
-        rows = rows.groupBy(*by, "_r", "_s").agg(F.first("resource").alias("resource"), F.first("scope").alias("scope"), F.collect_list("record").alias("log_records"), url)
+        rows = rows.groupBy(*of, "_s").agg(F.first("resource").alias("resource"), F.first("scope").alias("scope"), F.collect_list("record").alias("log_records"), F.min(url).alias("schema_url"), F.first("_url").alias("_url"))
     else:
-        rows = rows.select(*by, "_r", "resource", "scope", F.array("record").alias("log_records"), F.nullif(F.col("schema_url"), F.lit("")).alias("schema_url"))
+        rows = rows.select(*of, "resource", "scope", F.array("record").alias("log_records"), url.alias("schema_url"), "_url")
     one = F.struct("scope", "log_records", "schema_url")
-    merged = rows.groupBy(*by, "_r").agg(F.first("resource").alias("resource"), F.collect_list(one).alias("scope_logs"), F.min("schema_url").alias("schema_url"))
+    merged = rows.groupBy(*of).agg(F.first("resource").alias("resource"), F.collect_list(one).alias("scope_logs"), F.coalesce(F.first("_url"), F.min("schema_url")).alias("schema_url"))
     return merged.select(*by, F.struct("resource", "scope_logs", "schema_url").alias("resource_logs"))

@@ -179,7 +179,7 @@ def otlp_split(spark, sf_dir):
 
 @query("SELECT 'svc' || (user_id % 3) AS service, count(*) AS records FROM events GROUP BY ALL")
 def otlp_merge(spark, sf_dir):
-    """Single records merged into one request for each resource, whatever the order of its attributes, and written as JSON."""
+    """Single records merged into requests by resource, whatever the order of its attributes, and written as JSON."""
     e = read(spark, sf_dir, "events")
     value = lambda s: otlp.any_value(string_value=s)
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), value(v).alias("value"))

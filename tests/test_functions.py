@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from eventloom.functions import convert, parsers
+from eventloom.functions import convert, otlp, parsers
 from eventloom.operators.flow import Flow
 
 
@@ -144,6 +144,31 @@ def test_coercions(spark):
     assert tuple(r) == ("12", 1.0, 2.0, 0.0, False, False, "x2[1, 2]", False, True)
 
 
+@pytest.mark.parametrize("level", ["resource", "scope"])
+def test_otlp_merge_bounds_requests(spark, level):
+    """A resource of too many records, or of too many bytes, gets several requests that hold all of them; one that fits gets one."""
+    text = lambda s: otlp.any_value(string_value=s)
+    pair = lambda k, s: F.struct(F.lit(k).alias("key"), text(s).alias("value"))
+    e = spark.range(0, 3706, 1, 4).withColumn("name", F.expr("case when id < 2600 then 'many' when id < 3600 then 'exact' when id < 3606 then 'few' else 'long' end"))
+    e = e.withColumn("batch", F.expr("if(name = 'few', id % 2, null)"))
+    svc, host = pair("service.name", F.col("name")), pair("host", F.lit("h"))
+    attrs = F.when(F.col("id") % 4 < 2, F.array(svc, host)).otherwise(F.array(host, svc))
+    body = F.when(F.col("name") == "long", F.repeat(F.lit("x"), 99_000)).otherwise("y")
+    e = e.select("batch", otlp.resource(attrs).alias("resource"), otlp.scope("lib").alias("scope"), otlp.log_record(body=text(body), time_unix_nano=F.col("id")).alias("record"), F.when(F.col("id") == 1234, "u").otherwise("").alias("schema_url"))
+    r = otlp.merge(e, level).select("batch", "resource_logs", F.filter("resource_logs.resource.attributes", lambda a: a["key"] == "service.name")[0]["value"]["string_value"].alias("name"))
+    got = r.select("batch", "name", "resource_logs.schema_url", F.flatten("resource_logs.scope_logs.log_records").alias("records")).select("*", F.col("records.time_unix_nano").alias("ids"), F.length(F.to_json("records")).alias("size")).drop("records").collect()
+    of = lambda name: [x for x in got if x["name"] == name]
+    assert sorted(i for x in got for i in x["ids"]) == list(range(3706))
+    assert all(len(x["ids"]) <= 1000 and x["size"] <= 1_200_000 for x in got)
+    assert 3 <= len(of("many")) <= 8 and {x["schema_url"] for x in of("many")} == {"u"}
+    assert [len(x["ids"]) for x in of("exact")] == [1000]
+    assert sorted((x["batch"], sorted(x["ids"])) for x in of("few")) == [(0, [3600, 3602, 3604]), (1, [3601, 3603, 3605])]
+    assert 10 <= len(of("long")) <= 25
+
+    small = otlp.merge(e.where("record.time_unix_nano < 500").drop("batch"), level, most=50, most_bytes=20)
+    assert {len(x["n"]) for x in small.select(F.flatten("resource_logs.scope_logs.log_records").alias("n")).collect()} == {1}
+
+
 def test_products(spark):
     from eventloom.functions import ocsf, vendors
 

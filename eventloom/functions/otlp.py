@@ -104,7 +104,9 @@ def merge(records: DataFrame, level: str = "resource", most: int = 1000, most_by
     room = min(least * most, most_bytes)
     rows = records.withColumn("_r", _key(F.col("resource"))).withColumn("_took", F.greatest(F.octet_length(F.to_json(F.struct("scope", "record"))), F.lit(least)).cast("long"))
     # Resources that don't fit are few beside their records. Groups are planned to be four fifths full, as dealing is by chance.
-    total = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_r")]).agg(F.sum("_took").alias("_total"), F.min(url).alias("_url"))
+    names = [f"_of_{c}" for c in (*by, "_r")]
+    total = rows.groupBy(*[F.col(c).alias(n) for c, n in zip((*by, "_r"), names, strict=True)], url.alias("_url")).agg(F.sum("_took").alias("_total"))
+    total = total.groupBy(*names).agg(F.sum("_total").alias("_total"), F.min("_url").alias("_url"))  # apart, as Spark sorts rows to find a least text
     large = total.where(F.col("_total") > room).withColumn("_groups", F.ceil(F.col("_total") / (0.8 * room)))
     same = F.col("_r") == F.col("_of__r")
     for c in by:
